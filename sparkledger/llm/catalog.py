@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, secrets
+from . import bpe, html, quality, secrets
 
-MODULES = (bpe, quality, secrets)
+MODULES = (bpe, html, quality, secrets)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
