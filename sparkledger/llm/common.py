@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: A side is broadcast only if its rows, counted first, take no more than this.
 BROADCAST_BYTES = 8 << 20
 #: Rows of one Arrow batch; bounds a Python worker's memory by this many texts.
@@ -20,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows that Spark hands to a Python worker at once."""
+    """Bound the rows that Spark hands to a Python worker at once, and see that workers can import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
