@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, html, near_dup, quality, secrets
+from . import bpe, html, near_dup, quality, secrets, substring_dedup
 
-MODULES = (bpe, html, near_dup, quality, secrets)
+MODULES = (bpe, html, near_dup, quality, secrets, substring_dedup)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
