@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import q_offsets  # noqa: F401
+from .plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
