@@ -29,7 +29,7 @@ def write_snapshot(state: DataFrame, root: str, cut: int) -> str:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = lambda x: jvm.org.apache.hadoop.fs.Path(f"{root}/{x}")
     fs = path("").getFileSystem(conf)
-    pending, current = path(f"_manifest-{name}"), path("_manifest")
+    pending, current = path(f"_manifest-{name}"), path("manifest.txt")
     out = fs.create(pending, True)
     out.write(f"{name}\n{cut}\n".encode())
     out.close()
@@ -41,7 +41,7 @@ def write_snapshot(state: DataFrame, root: str, cut: int) -> str:
 
 def read_snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
     """The current snapshot and its cut; records at or after the cut are still to be folded."""
-    name, cut = (r[0] for r in spark.read.text(f"{root}/_manifest").collect()[:2])
+    name, cut = (r[0] for r in spark.read.text(f"{root}/manifest.txt").collect()[:2])
     return spark.read.parquet(f"{root}/{name}"), int(cut)
 
 
