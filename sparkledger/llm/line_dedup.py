@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, table
+from .common import BROADCAST_BYTES, Scratch, only, table
 
 SHINGLE = 5
 #: Postings of a token beyond which it counts as frequent.
@@ -53,25 +53,35 @@ def _postings(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc", "k", F.expr("size(tokens)").alias("n"), F.posexplode(F.expr(f"slice(tokens, 1, {_PREFIX})")).alias("p", "token"))
 
 
-def _by_rarity(postings: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Postings again with frequent tokens last, for lines whose prefix holds one."""
-    counts = postings.groupBy("token").count().filter(f"count > {FREQUENT}").select("token")
-    frequent = scratch.save(counts, "frequent")
+def _without(postings: DataFrame, lines: DataFrame, n: int) -> DataFrame:
+    """Postings of other lines: by a broadcast set if the n lines are small, by a shuffle beyond that."""
+    return postings.join(F.broadcast(lines) if n * 24 <= BROADCAST_BYTES else lines.hint("merge"), ["doc", "k"], "left_anti")
+
+
+def _by_rarity(postings: DataFrame, counts: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Postings that stay, and new postings, with frequent tokens last, of lines whose prefix holds one."""
+    frequent = counts.filter(f"c > {FREQUENT}").select("token")
     n = frequent.count()
     if not n:
-        return postings
+        return postings, None
     crowded = scratch.save(only(postings, frequent, "token", n).select("doc", "k").distinct(), "crowded")
     some = scratch.save(_lines_of(texts, crowded), "tokens")
-    # Whatever is frequent among these lines moves too, so that the next prefix does not run into it.
+    scratch.release()
+    # Whatever is frequent among these lines moves too, so that the next prefix does not run into it; lines outside whose
+    # prefix holds such a token are posted again as well, for all prefixes must follow one order.
     among = some.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f")).filter(f"f > {FREQUENT}")
     ranks = scratch.save(among, "ranks")
-    more = scratch.save(only(postings, ranks, "token", ranks.count()).select("doc", "k").distinct().join(crowded, ["doc", "k"], "left_anti"), "more")
+    hidden = ranks.join(frequent, "token", "left_anti").select("token")
+    more = scratch.save(only(postings, hidden, "token", hidden.count()).select("doc", "k").distinct().join(crowded, ["doc", "k"], "left_anti"), "more")
     some = some.union(scratch.save(_lines_of(texts, more), "tokens"))
+    scratch.release()
     ranked = some.select("doc", "k", F.explode("tokens").alias("token")).join(ranks, "token", "left").select("doc", "k", F.struct(F.coalesce("f", F.lit(0)).alias("f"), "token").alias("t"))
     # A line's tokens come together again; they are no more than its own words.
     again = ranked.groupBy("doc", "k").agg(F.expr("transform(sort_array(collect_list(t)), t -> t.token)").alias("tokens"))
+    again = scratch.save(_postings(again).select(*postings.columns), "again")
+    scratch.release()
     moved = crowded.union(more)
-    return scratch.save(postings.join(moved, ["doc", "k"], "left_anti").unionByName(_postings(again).select(*postings.columns)), "postings")
+    return _without(postings, moved, moved.count()), again
 
 
 def _lines_of(texts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -97,6 +107,7 @@ def _round(pairs: DataFrame, known: DataFrame | None, texts: DataFrame, scratch:
         need = need.join(known.select("doc", "k"), ["doc", "k"], "left_anti")
     more = scratch.save(_lines_of(texts, scratch.save(need, "need")), "verify")
     known = more if known is None else known.union(more)
+    scratch.release()
     return scratch.save(_verified(pairs, known), "similar"), known
 
 
@@ -108,15 +119,24 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     firsts = keys.groupBy("key").agg(F.min("doc").alias("first"))
     marked = scratch.save(keys.join(firsts, "key").groupBy("doc").agg(F.expr("collect_set(CASE WHEN doc = first THEN k END)").alias("ks"), F.expr("collect_set(CASE WHEN doc > first THEN k END)").alias("copies")), "marked")
     scratch.release()
-    postings = scratch.save(_postings(_tokens(texts, marked.filter("size(ks) > 0").select("doc", "ks"))).select("token", "doc", "k", "n", "p").distinct(), "postings")
+    postings = scratch.save(_postings(_tokens(texts, marked.filter("size(ks) > 0").select("doc", "ks"))).select("token", "doc", "k", "n", "p"), "postings")
     scratch.release()
-    postings = _by_rarity(postings, texts, scratch)
     # Map-side sums come first: a token that a third of all lines post is one row of each task.
-    groups = scratch.save(postings.groupBy("token").agg(F.count("*").alias("c"), F.min("doc").alias("hub")).filter("c > 1").select("token", "hub"), "groups")
+    counts = scratch.save(postings.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
     scratch.release()
-    shared = scratch.save(postings.join(groups, "token"), "shared")
+    stay, again = _by_rarity(postings, counts, texts, scratch)
+    wanted = counts.select("token")
+    if again is not None:
+        wanted = wanted.union(again.select("token")).distinct()
+    shared = stay.join(wanted, "token")
+    if again is not None:
+        shared = shared.unionByName(again)
+    shared = scratch.save(shared, "shared")
     scratch.drop(postings)
     scratch.release()
+    groups = shared.groupBy("token").agg(F.count("*").alias("c"), F.min("doc").alias("hub")).filter("c > 1").select("token", "hub")
+    shared = scratch.save(shared.join(groups, "token"), "grouped")
+    scratch.release()
     y = shared.selectExpr("token", "hub", "doc", "k", "n AS n_y", "p AS p_y")
     x = shared.selectExpr("token", "doc AS x_doc", "k AS x_k", "n AS n_x", "p AS p_x", "hub AS x_hub")
     later = "(x_doc < doc OR x_doc = doc AND x_k < k)"
