@@ -17,12 +17,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the table of thresholds."""
-    return quality.judge(quality.features(docs)).filter("kept").select(*COLUMNS)
+    return quality.kept_rows(quality.judge(quality.features(docs)), "kept").select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones; those with no line left go."""
-    out = line_dedup.dedup(docs).filter("n_lines = 0 OR n_removed_lines < n_lines")
+    out = quality.kept_rows(line_dedup.dedup(docs), "n_lines = 0 OR n_removed_lines < n_lines")
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 

@@ -103,6 +103,12 @@ def judge(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumns({"base_failed": F.expr(BASE), "failed_rules": F.expr(failed)}).withColumn("kept", F.expr("NOT base_failed AND size(failed_rules) = 0"))
 
 
+def kept_rows(df: DataFrame, condition: str) -> DataFrame:
+    """Rows that meet a condition on computed columns. The row number keeps Catalyst from moving the condition below the
+    projections, where every use of an array would compute it anew, inside lambdas once for each element."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).filter(f"({condition}) AND _row >= 0").drop("_row")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(features(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words")
