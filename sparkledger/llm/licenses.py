@@ -2,10 +2,10 @@
 
 Lines with a cue of licensing are candidates, and neighbouring ones form a
 block.  A block's words are compressed once plainly and once with each license
-template as a raw zstandard dictionary; the share of bytes saved ranks the
-templates.  The leading ones are confirmed by their exact wording: the template's
-words are aligned with the block's, and the words missing from and added to
-the template are reported.
+template as a raw zstandard dictionary; the share of bytes saved orders the
+templates.  Every one is confirmed by its exact wording: the template's words
+are aligned with the block's, and the words missing from and added to the
+template are reported.
 
 ``scan`` gives one row per confirmed block: start and end in code points, the
 license, the saving, and the differences.  Null and empty texts and texts
@@ -42,8 +42,8 @@ TEMPLATES = {
     "reserved": "All rights reserved.",
 }
 CUE = re.compile(r"licen[cs]e|copyright|rights\W+reserved|warrant|redistribut|permission\W+is|public\W+domain|creative\W+commons|\bcc\W+by\b|spdx", re.I)
-#: Templates confirmed per block, and the share of template words that must match, and of the aligned stretch that may be foreign.
-LEADING, MATCHED, FOREIGN = 4, 0.85, 0.2
+#: The share of template words that must match, and of the aligned stretch that may be foreign.
+MATCHED, FOREIGN = 0.85, 0.2
 
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
@@ -110,7 +110,7 @@ def licenses(text: str | None) -> list[tuple[int, int, str, float, int, str]]:
     for start, end in blocks(text):
         block = words(text[start:end])
         best = None
-        for saved, name in savings(text[start:end])[:LEADING]:
+        for saved, name in savings(text[start:end]):
             template = _compressors()[2][name]
             n, missing, foreign = wording(template, block)
             if n >= MATCHED * len(template) and len(foreign) <= FOREIGN * (n + len(foreign)) and (best is None or n > best[4]):
