@@ -4,21 +4,23 @@ Lines with a cue of licensing are candidates, and neighbouring ones form a
 block.  A block's words are compressed once plainly and once with each license
 template as a raw zstandard dictionary; the share of bytes saved orders the
 templates.  Every one is confirmed by its exact wording: the template's words
-are aligned with the block's, and the words missing from and added to the
-template are reported.
-
-``scan`` gives one row per confirmed block: start and end in code points, the
-license, the saving, and the differences.  Null and empty texts and texts
-without a cue give none; equal savings prefer the template listed first; of
-confirmed templates the one with the most matching words wins; repeated rows
-are scanned each; an empty table gives an empty table.  Only the named id and
-text columns are read.
+are aligned with every stretch of the block by their longest common
+subsequence, and the words missing from and added to the template are reported.
+
+``scan`` gives one row per confirmed stretch: start and end in code points, the
+license, the saving on the stretch, and the differences.  Of overlapping
+stretches the one with the most matching words less foreign ones wins, then the
+shorter, then the template that saves more of the block, then the one listed
+first; all that do not overlap a better one are reported.  Null and empty texts
+and texts without a cue give none; repeated rows are scanned each; an empty
+table gives an empty table.  Only the named id and text columns are read.
 """
 
 from __future__ import annotations
 
-import difflib
+import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -75,15 +77,62 @@ def savings(block: str) -> list[tuple[float, str]]:
 
 def wording(template: list[str], block: list[str]) -> tuple[int, list[str], list[str]]:
     """Matching words, words missing from the block, and foreign words within the aligned stretch."""
-    parts = [m for m in difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
-    if not parts:
+    n, m = len(template), len(block)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if template[i] == block[j] else max(best[i + 1][j], best[i][j + 1])
+    covered, inside, i, j = set(), set(), 0, 0
+    while i < n and j < m:
+        if template[i] == block[j]:
+            covered.add(i)
+            inside.add(j)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    if not covered:
         return 0, template, []
-    covered, inside = set(), set()
-    for m in parts:
-        covered.update(range(m.a, m.a + m.size))
-        inside.update(range(m.b, m.b + m.size))
-    low, high = min(inside), max(inside)
-    return len(covered), [w for i, w in enumerate(template) if i not in covered], [block[i] for i in range(low, high + 1) if i not in inside]
+    return len(covered), [w for i, w in enumerate(template) if i not in covered], [block[i] for i in range(min(inside), max(inside) + 1) if i not in inside]
+
+
+def stretches(template: list[str], block: list[str]) -> list[tuple[int, int, int]]:
+    """(matching words, start, end) of each stretch of the block's words that confirms the template."""
+    wanted, m = Counter(template), len(template)
+    need, reach = math.ceil(MATCHED * m), longest(m)
+    if (wanted & Counter(block)).total() < need:
+        return []
+    at, full = {}, (1 << m) - 1
+    for i, w in enumerate(template):
+        at[w] = at.get(w, 0) | 1 << i
+    out, held, common = [], Counter(), 0
+    for k in range(len(block) + reach):  # words of the template among block[start : start + reach], which bounds what can match
+        if k < len(block) and block[k] in at:
+            held[block[k]] += 1
+            common += held[block[k]] <= wanted[block[k]]
+        start = k - reach + 1
+        if start < 0:
+            continue
+        if common >= need and block[start] in at:
+            free = full  # bit-parallel longest common subsequence: a zero bit for each match
+            for stop in range(start, min(start + reach, len(block))):
+                hit = at.get(block[stop], 0)
+                if hit:
+                    both = free & hit
+                    free = (free + both | free - both) & full
+                    n = m - free.bit_count()
+                    if n >= need and stop + 1 - start - n <= FOREIGN * (stop + 1 - start):
+                        out.append((n, start, stop + 1))
+        if start < len(block) and block[start] in at:
+            common -= held[block[start]] <= wanted[block[start]]
+            held[block[start]] -= 1
+    return out
+
+
+def longest(n: int) -> int:
+    """Words that a stretch of n matching words can have, or one more."""
+    return int(n / (1 - FOREIGN)) + 1
 
 
 def blocks(text: str):
@@ -103,25 +152,31 @@ def blocks(text: str):
 
 
 def licenses(text: str | None) -> list[tuple[int, int, str, float, int, str]]:
-    """(start, end, license, saving, matching words, differences) of each confirmed block."""
+    """(start, end, license, saving, matching words, differences) of each confirmed stretch."""
     out = []
     if not text or not CUE.search(text):
         return out
+    templates = _compressors()[2]
     for start, end in blocks(text):
-        block = words(text[start:end])
-        best = None
-        for saved, name in savings(text[start:end]):
-            template = _compressors()[2][name]
-            n, missing, foreign = wording(template, block)
-            if n >= MATCHED * len(template) and len(foreign) <= FOREIGN * (n + len(foreign)) and (best is None or n > best[4]):
-                best = (start, end, name, saved, n, " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in foreign]))
-        if best:
-            out.append(best)
+        spans = [(start + m.start(), start + m.end()) for m in _WORD.finditer(text[start:end])]
+        block = [text[a:b].lower() for a, b in spans]
+        found = []
+        for rank, (_, name) in enumerate(savings(text[start:end])):
+            found += [(b - a - 2 * n, b - a, rank, a, b, name) for n, a, b in stretches(templates[name], block)]
+        used, rows = bytearray(len(block)), []
+        for _, size, _, a, b, name in sorted(found):
+            if not any(used[a:b]):
+                used[a:b] = b"\1" * size
+                n, missing, foreign = wording(templates[name], block[a:b])
+                at, to = spans[a][0], spans[b - 1][1]
+                saved = next(x for x, k in savings(text[at:to]) if k == name)
+                rows.append((at, to, name, saved, n, " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in foreign])))
+        out += sorted(rows)
     return out
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, start, end, license, saving, n_words, differences), one row per confirmed block."""
+    """(doc_id, start, end, license, saving, n_words, differences), one row per confirmed stretch."""
     types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.string())
     names = ["doc_id", "start", "end", "license", "saving", "n_words", "differences"]
 

@@ -1,5 +1,7 @@
 """Notices that a license scan must not lose."""
 
+import random
+
 import pytest
 
 from sparkledger.llm import licenses
@@ -15,3 +17,32 @@ PROSE = (
 @pytest.mark.parametrize(("notice", "name"), [("All rights reserved.", "reserved"), ("Released under the MIT License.", "MIT")])
 def test_a_notice_at_the_end_of_a_long_line(notice, name):
     assert [x[2] for x in licenses.licenses(PROSE + notice)] == [name]
+
+
+@pytest.mark.parametrize("gap", ["\n", " "])
+@pytest.mark.parametrize("first", [("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("All rights reserved.", "reserved"), ("Released under the MIT License.", "MIT")])
+def test_two_notices_side_by_side(first, gap):
+    text = first[0] + gap + "Released under the MIT License."
+    got = licenses.licenses(text)
+    assert [x[2] for x in got] == [first[1], "MIT"]
+    assert [text[x[0] : x[1]] for x in got] == [first[0].rstrip("."), "Released under the MIT License"]
+    assert [x[4] for x in got] == [len(licenses.words(first[0])), 5] and {x[5] for x in got} == {""}
+
+
+def test_the_longer_of_nested_templates_wins():
+    assert [x[2] for x in licenses.licenses(licenses.TEMPLATES["Apache-2.0-header"])] == ["Apache-2.0-header"]
+
+
+def test_stretches_are_those_of_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        template = [rng.choice("abcdefg") for _ in range(rng.randint(3, 12))]
+        block = [rng.choice("abcdefghij") for _ in range(rng.randint(0, 6))] + template[: rng.randint(0, 12)] + template + [rng.choice("abc") for _ in range(rng.randint(0, 6))]
+        del block[rng.randrange(len(block))]
+        want = set()
+        for i in range(len(block)):
+            for j in range(i + 1, len(block) + 1):
+                n = licenses.wording(template, block[i:j])[0]
+                if n >= licenses.MATCHED * len(template) and j - i - n <= licenses.FOREIGN * (j - i) and block[i] in template and block[j - 1] in template:
+                    want.add((n, i, j))
+        assert set(licenses.stretches(template, block)) == want
