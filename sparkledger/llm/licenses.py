@@ -1,7 +1,8 @@
 """License scans by conditional compression.
 
-Lines with a cue of licensing are candidates, and neighbouring ones form a
-block.  A block's words are compressed once plainly and once with each license
+A cue of licensing opens a block that reaches over the words before and after
+it, by the longest template's length on both sides and over any line ends;
+blocks that meet are one.  A block's words are compressed once plainly and once with each license
 template as a raw zstandard dictionary; the share of bytes saved orders the
 templates.  Every one is confirmed by its exact wording: the template's words
 are aligned with every stretch of the block by their longest common
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from functools import lru_cache
 
@@ -135,20 +137,20 @@ def longest(n: int) -> int:
     return int(n / (1 - FOREIGN)) + 1
 
 
-def blocks(text: str):
-    """(start, end) of runs of lines with a cue."""
-    start = end = None
-    at = 0
-    for line in text.split("\n"):
-        stop = at + len(line)
-        if CUE.search(line):
-            start, end = at if start is None else start, stop
-        elif start is not None:
-            yield start, end
-            start = None
-        at = stop + 1
-    if start is not None:
-        yield start, end
+def blocks(text: str, spans: list[tuple[int, int]]):
+    """(first, last + 1) of the runs of words within reach of a cue; ``spans`` are those of the text's words."""
+    reach = max(longest(len(t)) for t in _compressors()[2].values())
+    starts = [a for a, _ in spans]
+    first = last = None
+    for cue in CUE.finditer(text):
+        # The cue may begin within a word, and its pattern may hold several.
+        low, high = max(bisect_right(starts, cue.start()) - 1 - reach, 0), min(bisect_left(starts, cue.end()) + reach, len(spans))
+        if first is not None and low > last:
+            yield first, last
+            first = None
+        first, last = low if first is None else first, high
+    if first is not None:
+        yield first, last
 
 
 def licenses(text: str | None) -> list[tuple[int, int, str, float, int, str]]:
@@ -157,11 +159,12 @@ def licenses(text: str | None) -> list[tuple[int, int, str, float, int, str]]:
     if not text or not CUE.search(text):
         return out
     templates = _compressors()[2]
-    for start, end in blocks(text):
-        spans = [(start + m.start(), start + m.end()) for m in _WORD.finditer(text[start:end])]
+    every = [m.span() for m in _WORD.finditer(text)]
+    for first, last in blocks(text, every):
+        spans = every[first:last]
         block = [text[a:b].lower() for a, b in spans]
         found = []
-        for rank, (_, name) in enumerate(savings(text[start:end])):
+        for rank, (_, name) in enumerate(savings(text[spans[0][0] : spans[-1][1]])):
             found += [(b - a - 2 * n, b - a, rank, a, b, name) for n, a, b in stretches(templates[name], block)]
         used, rows = bytearray(len(block)), []
         for _, size, _, a, b, name in sorted(found):

@@ -1,6 +1,7 @@
 """Notices that a license scan must not lose."""
 
 import random
+import textwrap
 
 import pytest
 
@@ -46,3 +47,20 @@ def test_stretches_are_those_of_brute_force():
                 if n >= licenses.MATCHED * len(template) and j - i - n <= licenses.FOREIGN * (j - i) and block[i] in template and block[j - 1] in template:
                     want.add((n, i, j))
         assert set(licenses.stretches(template, block)) == want
+
+
+@pytest.mark.parametrize("name", ["MIT-text", "Apache-2.0-header", "BSD-3-Clause", "GPL-3.0-header"])
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+@pytest.mark.parametrize("width", [30, 78])
+def test_wrapped_texts(name, mark, width):
+    lines = textwrap.wrap(licenses.TEMPLATES[name], width, break_long_words=False, break_on_hyphens=False)
+    lines[len(lines) // 2 : len(lines) // 2] = [""]  # a blank line within
+    text = "import sys\n\n" + "\n".join(mark + x for x in lines) + "\n\nprint(1)\n"
+    (got,) = licenses.licenses(text)
+    assert got[2] == name and got[4] == len(licenses.words(licenses.TEMPLATES[name])) and got[5] == ""
+    assert licenses.words(text[got[0] : got[1]]) == licenses.words(licenses.TEMPLATES[name])
+
+
+def test_copies_far_apart_and_close_together():
+    wrapped = "\n".join(textwrap.wrap(licenses.TEMPLATES["MIT-text"], 60))
+    assert [x[2] for x in licenses.licenses(wrapped + "\n\n" + wrapped + "\nword" * 2000 + "\n" + wrapped)] == ["MIT-text"] * 3
