@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +15,8 @@ BROADCAST_BYTES = 8 << 20
 #: Rows of one Arrow batch; bounds a Python worker's memory by this many texts.
 BATCH_ROWS = 256
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -33,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="sparkledger-")
@@ -40,30 +44,57 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables that cut lineage: they outlive lost executors and are read again without recomputation."""
+    """Written tables that cut lineage: they outlive lost executors and are read again without recomputation.
+
+    The shuffle files behind a table go with the plan that wrote it.  An operator drops a table when its last reader is
+    written, and closes its scratch with the tables that its result still reads; the folder goes with the application.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        path = f"{self.root}/{len(self.paths):03d}-{name}"
+        with shuffles_dropped(self.spark):
+            df.write.parquet(path)
+        self.paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished plans now, not when the driver happens to collect its garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-    def drop(self, *tables: DataFrame) -> None:
+    def drop(self, *tables: DataFrame | None) -> None:
         """Delete written tables that no later plan reads."""
-        jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            p.getFileSystem(hadoop).delete(p, True)
+            path = getattr(t, "scratch_path", None)
+            if path in self.paths and path is not None:
+                delete(self.spark, path)
+                self.paths[self.paths.index(path)] = None
+
+    def close(self, *keep: DataFrame) -> None:
+        """Delete all tables but those that the result reads."""
+        kept = {t.scratch_path for t in keep}
+        for i, path in enumerate(self.paths):
+            if path is not None and path not in kept:
+                delete(self.spark, path)
+                self.paths[i] = None
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Let Spark delete the shuffle files of each plan that ends in here at its end, not when the driver collects its garbage."""
+    old = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, old)
 
 
 def only(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:

@@ -66,7 +66,6 @@ def _by_rarity(postings: DataFrame, counts: DataFrame, texts: DataFrame, scratch
         return postings, None
     crowded = scratch.save(only(postings, frequent, "token", n).select("doc", "k").distinct(), "crowded")
     some = scratch.save(_lines_of(texts, crowded), "tokens")
-    scratch.release()
     # Whatever is frequent among these lines moves too, so that the next prefix does not run into it; lines outside whose
     # prefix holds such a token are posted again as well, for all prefixes must follow one order.
     among = some.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f")).filter(f"f > {FREQUENT}")
@@ -74,12 +73,10 @@ def _by_rarity(postings: DataFrame, counts: DataFrame, texts: DataFrame, scratch
     hidden = ranks.join(frequent, "token", "left_anti").select("token")
     more = scratch.save(only(postings, hidden, "token", hidden.count()).select("doc", "k").distinct().join(crowded, ["doc", "k"], "left_anti"), "more")
     some = some.union(scratch.save(_lines_of(texts, more), "tokens"))
-    scratch.release()
     ranked = some.select("doc", "k", F.explode("tokens").alias("token")).join(ranks, "token", "left").select("doc", "k", F.struct(F.coalesce("f", F.lit(0)).alias("f"), "token").alias("t"))
     # A line's tokens come together again; they are no more than its own words.
     again = ranked.groupBy("doc", "k").agg(F.expr("transform(sort_array(collect_list(t)), t -> t.token)").alias("tokens"))
     again = scratch.save(_postings(again).select(*postings.columns), "again")
-    scratch.release()
     moved = crowded.union(more)
     return _without(postings, moved, moved.count()), again
 
@@ -107,7 +104,6 @@ def _round(pairs: DataFrame, known: DataFrame | None, texts: DataFrame, scratch:
         need = need.join(known.select("doc", "k"), ["doc", "k"], "left_anti")
     more = scratch.save(_lines_of(texts, scratch.save(need, "need")), "verify")
     known = more if known is None else known.union(more)
-    scratch.release()
     return scratch.save(_verified(pairs, known), "similar"), known
 
 
@@ -118,12 +114,9 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     keys = texts.select("doc", F.posexplode(F.expr(_LINES.format("text"))).alias("k", "line")).select("doc", "k", F.expr("unhex(md5(line))").alias("key"))
     firsts = keys.groupBy("key").agg(F.min("doc").alias("first"))
     marked = scratch.save(keys.join(firsts, "key").groupBy("doc").agg(F.expr("collect_set(CASE WHEN doc = first THEN k END)").alias("ks"), F.expr("collect_set(CASE WHEN doc > first THEN k END)").alias("copies")), "marked")
-    scratch.release()
     postings = scratch.save(_postings(_tokens(texts, marked.filter("size(ks) > 0").select("doc", "ks"))).select("token", "doc", "k", "n", "p"), "postings")
-    scratch.release()
     # Map-side sums come first: a token that a third of all lines post is one row of each task.
     counts = scratch.save(postings.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
-    scratch.release()
     stay, again = _by_rarity(postings, counts, texts, scratch)
     wanted = counts.select("token")
     if again is not None:
@@ -133,10 +126,8 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         shared = shared.unionByName(again)
     shared = scratch.save(shared, "shared")
     scratch.drop(postings)
-    scratch.release()
     groups = shared.groupBy("token").agg(F.count("*").alias("c"), F.min("doc").alias("hub")).filter("c > 1").select("token", "hub")
     shared = scratch.save(shared.join(groups, "token"), "grouped")
-    scratch.release()
     y = shared.selectExpr("token", "hub", "doc", "k", "n AS n_y", "p AS p_y")
     x = shared.selectExpr("token", "doc AS x_doc", "k AS x_k", "n AS n_x", "p AS p_x", "hub AS x_hub")
     later = "(x_doc < doc OR x_doc = doc AND x_k < k)"
@@ -148,7 +139,6 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     similar = gone.union(more).groupBy("doc").agg(F.collect_set("k").alias("similar"))
     out = marked.join(similar, "doc", "left").select("doc", F.expr("array_union(copies, coalesce(similar, array()))").alias("gone")).filter("size(gone) > 0")
     out = scratch.save(out, "gone")
-    scratch.release()
     return out
 
 
