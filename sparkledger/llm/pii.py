@@ -1,26 +1,34 @@
 """PII surrogates: every detected entity gets a keyed replacement of its own type, script, gender and format.
 
 Detected are e-mail and IPv4 addresses, card or account numbers, social
-security and phone numbers, and names after a form of address.  A surrogate is
-a keyed permutation of all values of the entity's shape: digits become digits,
-vowels vowels and consonants consonants of the same script and case, numbers
-that pass the Luhn check pass it again, private addresses stay private, and a
-given name of a list becomes one of the same gender and script.  A permutation
-cannot map two entities to one, and it maps an entity to the same surrogate in
-every document, so distinctness and coreference hold over the whole corpus
-without any shared state; ``replace`` checks both within each document all the
-same.  Spelling is compared without case (e-mail, names) or separators
-(numbers); the surrogate takes on the spelling of each mention.
+security and phone numbers, names after a form of address, and capitalised
+mentions of such a name, or of its last word, anywhere else in the text.  A
+surrogate is a keyed permutation of all values of the entity's shape: digits
+become digits, letters of an address vowels and consonants of the same script
+and case, numbers that pass the Luhn check pass it again, private addresses
+stay private.  The words of a name are numbered within all words of their
+alphabet, permuted, and written in syllables of the same script, a given name
+with an ending of the gender that the form of address tells; a given name of a
+list becomes one of the same list.  A permutation cannot map two entities to
+one, and it maps an entity to the same surrogate in every document, so
+distinctness and coreference hold over the corpus without shared state.
+``replace`` checks both within each document all the same: a surrogate that
+another entity has already is drawn again.  Spelling is compared without case
+(e-mail, names), kind of space or digit, or separators (numbers; a leading plus
+counts); the surrogate takes on the spelling of each mention.
 
 Null text stays null and has no entities, as does empty text; repeated rows
 give repeated results; an empty table gives an empty table; other columns pass
-through, and ones named ``entities`` are replaced.  Text is scanned whole.
+through, and ones named ``entities`` are replaced.  Text is scanned whole; of
+overlapping mentions the earlier one, then the longer one counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,20 +55,34 @@ LETTERS = {
     "greek": ("αεηιουω", "βγδζθκλμνξπρσςτφχψ"),
     "cyrillic": ("аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь"),
 }
+SYLLABLES = {
+    "latin": ("bcdfghjklmnprstvwxyz", "aeiou"),
+    "greek": ("βγδζθκλμνξπρστφχψ", "αεηιου"),
+    "cyrillic": ("бвгджзклмнпрстфхцчшщ", "аеиоу"),
+}
+ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz'-", "greek": "αβγδεζηθικλμνξοπρσςτυφχψω'-", "cyrillic": "абвгдеёжзийклмнопрстуфхцчшщъыьэюя'-"}
+# No syllable ends in a consonant, so what follows the syllables of a word can be told from them: a mark of the alphabet that
+# its letters were numbered in, and the ending of a given name.
+MARKS = {"latin": ("", "l", "x"), "greek": ("", "λ", "ξ"), "cyrillic": ("", "л", "х")}
+ENDINGS = {"latin": {"m": "rdo", "f": "nna", "": ""}, "greek": {"m": "ρδος", "f": "ννα", "": ""}, "cyrillic": {"m": "рдин", "f": "нна", "": ""}}
 CLASSES = [*(x for pair in LETTERS.values() for x in pair), "0123456789"]
 _CLASS = {c: (k, i) for k, chars in enumerate(CLASSES) for i, c in enumerate(chars)}
 _GENDER = {w.lower(): g for g, words in ADDRESS.items() for w in words.split()}
 _NAMES = {n.lower(): key for key, names in GIVEN.items() for n in names.split()}
 
 _FORMS = "|".join(sorted((re.escape(w) for words in ADDRESS.values() for w in words.split()), key=len, reverse=True))
-_WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][\w'’-]*"
+_CAPITAL = "".join(c for c in map(chr, [*range(0x530), *range(0x1E00, 0x2000)]) if unicodedata.category(c) == "Lu")
+# A word of a name has up to 64 letters; an English genitive is not part of it.
+_WORD = rf"[{_CAPITAL}]\w{{0,63}}+(?:['’-](?!s\b)\w{{1,63}}+)*+(?!\w)"
+NAME_WORD = re.compile(rf"(?<![\w-]){_WORD}")
+_GAP = re.compile(r"[ \xa0]{1,3}")
 ENTITY = re.compile(
     r"(?P<email>(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<card>(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w))"
-    rf"|(?P<address>\b(?i:{_FORMS})\.?[ \xa0]+)(?P<name>{_WORD}(?:[ \xa0]{_WORD}){{0,2}})"
+    rf"|(?P<address>\b(?i:{_FORMS})\.?[ \xa0]+)(?P<name>{_WORD}(?:[ \xa0]{{1,3}}{_WORD}){{0,2}})"
 )
 
 
@@ -129,15 +151,23 @@ def _ip_class(value: int) -> int:
     return -1
 
 
+def _digits(text: str) -> str:
+    """The text with decimal digits of any script as ASCII."""
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
 def canonical(kind: str, mention: str) -> str:
     """What mentions of one entity have in common."""
-    if kind in ("email", "name"):
+    if kind == "name":
+        return " ".join(_GAP.split(mention.lower()))
+    mention = _digits(mention)
+    if kind in ("email", "ip"):
         return mention.lower()
-    return mention if kind == "ip" else "".join(c for c in mention if c.isdigit())
+    return ("+" if mention.startswith("+") else "") + "".join(c for c in mention if c.isdigit())
 
 
-def surrogate(kind: str, value: str, key: bytes, gender: str = "") -> str:
-    """The replacement of a canonical value."""
+def surrogate(kind: str, value: str, key: bytes) -> str:
+    """The replacement of a canonical value that is no name."""
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         labels = domain.rsplit(".", 1)
@@ -158,58 +188,139 @@ def surrogate(kind: str, value: str, key: bytes, gender: str = "") -> str:
     if kind == "card":
         valid = luhn(value)
         return permute_shape(value, key, kind, lambda x: luhn(x) == valid)
-    if kind == "name":
-        words = value.split()
-        return " ".join(_name(w, key, gender, i == 0 and len(words) > 1) for i, w in enumerate(words))
     return permute_shape(value, key, kind)
 
 
-def _name(word: str, key: bytes, gender: str, first: bool) -> str:
+def compose(word: str, key: bytes, role: str, ending: str = "") -> str:
+    """A word of syllables for a word of a name, in its script; different words of a role and ending get different ones."""
+    script = "cyrillic" if re.search("[\u0400-\u052f]", word) else "greek" if re.search("[\u0370-\u03ff\u1f00-\u1fff]", word) else "latin"
+    consonants, vowels = SYLLABLES[script]
+    small = {c: i for i, c in enumerate(ALPHABETS[script])}
+    if all(c in small for c in word):
+        mark, size, letters = 0, len(small), [small[c] for c in word]
+    elif all(c < "\u0250" for c in word):
+        mark, size, letters = 1, 0x250, [ord(c) for c in word]
+    else:
+        mark, size, letters = 2, 0x110000, [ord(c) for c in word]
+    value = 0  # the word's number among all words, the shorter ones first; its successor bounds the words of its length
+    for x in letters:
+        value = value * size + x + 1
+    base, words = len(consonants) * len(vowels), (size ** (len(word) + 1) - 1) // (size - 1)
+    n = max(1, int((words.bit_length() - 1) / math.log2(base)))
+    while base**n < words:
+        n += 1
+    value = Permutation(key, f"{role}:{script}:{mark}", base**n)(value)
+    out = ""
+    for _ in range(n):
+        value, at = divmod(value, base)
+        out += consonants[at // len(vowels)] + vowels[at % len(vowels)]
+    return out + MARKS[script][mark] + (ENDINGS[script][ending] if ending else "")
+
+
+def given_name(word: str, key: bytes, gender: str) -> str:
     if word in _NAMES:
         pool = GIVEN[_NAMES[word]].lower().split()
         return pool[Permutation(key, "given" + "".join(_NAMES[word]), len(pool))(pool.index(word))]
-    return permute_shape(word, key, "name", lambda x: x not in _NAMES)
+    return compose(word, key, "given", gender)
 
 
 def _dressed(kind: str, mention: str, new: str) -> str:
     """The surrogate in the spelling of the mention."""
-    if kind in ("email", "ip"):
-        return new.upper() if mention.isupper() and kind == "email" else new
+    if kind == "email":
+        return new.upper() if mention.isupper() else new
     if kind == "name":
-        old_words = mention.split()
-        out = [n.upper() if o.isupper() and len(o) > 1 else n[:1].upper() + n[1:] for o, n in zip(old_words, new.split(), strict=True)]
-        return " ".join(out)
-    digits = iter(new)
-    return "".join(next(digits) if c.isdigit() else c for c in mention)
+        words = iter(new.split())
+        parts = re.split(r"([ \xa0]+)", mention)
+        return "".join(x if i % 2 else _cased(x, next(words)) for i, x in enumerate(parts))
+    zero = next((ord(c) - unicodedata.decimal(c) for c in mention if c.isdecimal()), 48)
+    if kind == "ip":
+        return "".join(chr(zero + int(c)) if c.isdigit() else c for c in new)
+    digits = iter(new.lstrip("+"))
+    return "".join(chr(ord(c) - unicodedata.decimal(c) + int(next(digits))) if c.isdecimal() else c for c in mention)
 
 
-def replace(text: str, key: bytes) -> tuple[str, list[dict]]:
-    """The text with surrogates, and its entities (kind, start, end in the text given, surrogate)."""
-    out, last, found, to, fro = [], 0, [], {}, {}
+def _cased(old: str, new: str) -> str:
+    return new.upper() if old.isupper() and len(old) > 1 else new[:1].upper() + new[1:]
+
+
+class Draws:
+    """The surrogates of one document: an entity keeps its own, and none is given twice."""
+
+    def __init__(self, key: bytes):
+        self.key, self.to, self.fro = key, {}, {}
+
+    def __call__(self, kind: str, value: str, draw) -> str:
+        if (kind, value) not in self.to:
+            turn, key = 0, self.key
+            while self.fro.setdefault((kind, new := draw(value, key)), value) != value:
+                turn += 1
+                key = self.key + turn.to_bytes(4, "big")
+            self.to[kind, value] = new
+        return self.to[kind, value]
+
+
+def _country(mention: str) -> int:
+    """Digits of a phone number's country code, which stays."""
+    found = re.match(r"\+(\d{1,3}?)(?=[ .(-]|\d{7})", mention)
+    return len(found[1]) if found else 0
+
+
+def mentions(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, gender) of all entities, in order."""
+    found, names, last_words = [], {}, set()
     for m in ENTITY.finditer(text):
-        kind = m.lastgroup
-        if kind == "address":
+        if m.lastgroup != "name":
+            found.append((*m.span(), m.lastgroup, ""))
             continue
-        mention, gender = m[kind], ""
-        if kind == "name":
-            gender = _GENDER.get(m["address"].strip(" \xa0.").lower(), "")
+        gender = _GENDER.get(m["address"].strip(" \xa0.").lower(), "")
+        found.append((*m.span("name"), "name", gender))
+        words = canonical("name", m["name"]).split()
+        last_words.add(words[-1])
+        names.setdefault(words[0], set()).add(tuple(words))
+    if not names:
+        return found
+    every, taken, i, more = list(NAME_WORD.finditer(text)), iter([*found, (len(text), len(text), "", "")]), 0, []
+    low, high, *_ = next(taken)
+    while i < len(every):
+        start = every[i].start()
+        while high <= start and low < len(text):
+            low, high, *_ = next(taken)
+        best = 1 if every[i].group().lower() in last_words else 0
+        for words in names.get(every[i].group().lower(), ()):
+            at = every[i : i + len(words)]
+            if len(at) == len(words) and tuple(x.group().lower() for x in at) == words and all(_GAP.fullmatch(text, a.end(), b.start()) for a, b in zip(at, at[1:])):
+                best = max(best, len(words))
+        end = every[i + best - 1].end() if best else start
+        if best and not (low < end and start < high):
+            more.append((start, end, "name", ""))
+        i += max(best, 1)
+    return sorted(found + more)
+
+
+def replace(text: str, key: bytes) -> tuple[str, list[dict]]:
+    """The text with surrogates, and its entities (kind, start, end in the text given, surrogate)."""
+    out, last, records, draws, genders = [], 0, [], Draws(key), {}
+    found = mentions(text)
+    for start, end, kind, gender in found:
+        if kind == "name" and gender:
+            genders.setdefault(canonical(kind, text[start:end]).split()[0], gender)
+    for start, end, kind, _ in found:
+        mention = text[start:end]
         value = canonical(kind, mention)
-        prefix = ""
-        if kind == "phone" and mention.startswith("+"):  # the country stays
-            prefix = re.match(r"\+(\d{1,3}?)(?=[ .(-]|\d{7})", mention)
-            prefix = prefix[1] if prefix else ""
-        new = to.get((kind, value))
-        if new is None:
-            new = prefix + surrogate(kind, value[len(prefix) :], key, gender)
-            if fro.setdefault((kind, new), value) != value:
-                raise AssertionError("two entities got one surrogate")
-            to[kind, value] = new
+        if kind == "name":
+            *given, family = value.split()
+            new = " ".join([draws("given", w, lambda x, k: given_name(x, k, genders.get(x, ""))) for w in given] + [draws("family", family, lambda x, k: compose(x, k, "family"))])
+        elif value.startswith("+"):
+            n = 1 + _country(_digits(mention))
+            new = draws(kind, value, lambda x, k, n=n: x[:n] + surrogate("phone", x[n:], k))
+        else:
+            new = draws(kind, value, lambda x, k, kind=kind: surrogate(kind, x, k))
         dressed = _dressed(kind, mention, new)
-        out += [text[last : m.start(kind)], dressed]
-        found.append({"kind": kind, "start": m.start(kind), "end": m.end(kind), "surrogate": dressed})
-        last = m.end(kind)
+        out += [text[last:start], dressed]
+        records.append({"kind": kind, "start": start, "end": end, "surrogate": dressed})
+        last = end
     out.append(text[last:])
-    return "".join(out), found
+    return "".join(out), records
 
 
 _ENTITY = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("surrogate", pa.string())])
