@@ -58,32 +58,36 @@ def _without(postings: DataFrame, lines: DataFrame, n: int) -> DataFrame:
     return postings.join(F.broadcast(lines) if n * 24 <= BROADCAST_BYTES else lines.hint("merge"), ["doc", "k"], "left_anti")
 
 
-def _by_rarity(postings: DataFrame, counts: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """Postings that stay, and new postings, with frequent tokens last, of lines whose prefix holds one."""
-    frequent = counts.filter(f"c > {FREQUENT}").select("token")
+def _by_rarity(postings: DataFrame, counts: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
+    """(doc, k) of the lines whose prefix holds a frequent token, and their postings with frequent tokens last; none if there are none."""
+    frequent = scratch.save(counts.filter(f"c > {FREQUENT}").select("token"), "frequent")
     n = frequent.count()
     if not n:
-        return postings, None
+        return None, None
     crowded = scratch.save(only(postings, frequent, "token", n).select("doc", "k").distinct(), "crowded")
     some = scratch.save(_lines_of(texts, crowded), "tokens")
     # Whatever is frequent among these lines moves too, so that the next prefix does not run into it; lines outside whose
     # prefix holds such a token are posted again as well, for all prefixes must follow one order.
     among = some.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f")).filter(f"f > {FREQUENT}")
     ranks = scratch.save(among, "ranks")
-    hidden = ranks.join(frequent, "token", "left_anti").select("token")
+    hidden = scratch.save(ranks.join(frequent, "token", "left_anti").select("token"), "hidden")
     more = scratch.save(only(postings, hidden, "token", hidden.count()).select("doc", "k").distinct().join(crowded, ["doc", "k"], "left_anti"), "more")
-    some = some.union(scratch.save(_lines_of(texts, more), "tokens"))
-    ranked = some.select("doc", "k", F.explode("tokens").alias("token")).join(ranks, "token", "left").select("doc", "k", F.struct(F.coalesce("f", F.lit(0)).alias("f"), "token").alias("t"))
+    rest = scratch.save(_lines_of(texts, more), "tokens")
+    ranked = some.union(rest).select("doc", "k", F.explode("tokens").alias("token")).join(ranks, "token", "left").select("doc", "k", F.struct(F.coalesce("f", F.lit(0)).alias("f"), "token").alias("t"))
     # A line's tokens come together again; they are no more than its own words.
     again = ranked.groupBy("doc", "k").agg(F.expr("transform(sort_array(collect_list(t)), t -> t.token)").alias("tokens"))
     again = scratch.save(_postings(again).select(*postings.columns), "again")
-    moved = crowded.union(more)
-    return _without(postings, moved, moved.count()), again
+    scratch.drop(some, rest)
+    moved = scratch.save(crowded.union(more), "moved")
+    scratch.drop(frequent, ranks, hidden, crowded, more)
+    return moved, again
 
 
 def _lines_of(texts: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc, k, tokens) of lines (doc, k)."""
+    """(doc, k, tokens) of lines (doc, k), a written table."""
     by_doc = lines.groupBy("doc").agg(F.collect_list("k").alias("ks"))
+    if lines.count() * 24 <= BROADCAST_BYTES:
+        return _tokens(texts, F.broadcast(by_doc))
     ids = lines.select("doc").distinct()
     return _tokens(only(texts, ids, "doc", ids.count()), by_doc)
 
@@ -111,23 +115,31 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(doc, gone): the indexes, among the distinct lines of a document, of those that go."""
     scratch = Scratch(docs.sparkSession, "lines")
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("doc IS NOT NULL")
-    keys = texts.select("doc", F.posexplode(F.expr(_LINES.format("text"))).alias("k", "line")).select("doc", "k", F.expr("unhex(md5(line))").alias("key"))
-    firsts = keys.groupBy("key").agg(F.min("doc").alias("first"))
-    marked = scratch.save(keys.join(firsts, "key").groupBy("doc").agg(F.expr("collect_set(CASE WHEN doc = first THEN k END)").alias("ks"), F.expr("collect_set(CASE WHEN doc > first THEN k END)").alias("copies")), "marked")
+    # Every table goes as soon as its last reader is written; the full postings are shuffled twice, for the counts and for
+    # the tokens that lines share, and only what they share is worked on after that.
+    keys = scratch.save(texts.select("doc", F.posexplode(F.expr(_LINES.format("text"))).alias("k", "line")).select("doc", "k", F.expr("unhex(md5(line))").alias("key")), "keys")
+    firsts = scratch.save(keys.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("c")).filter("c > 1").select("key", "first"), "firsts")
+    first = F.col("first").isNull() | (F.col("doc") == F.col("first"))
+    marked = keys.join(firsts, "key", "left").groupBy("doc").agg(F.collect_set(F.when(first, F.col("k"))).alias("ks"), F.collect_set(F.when(~first, F.col("k"))).alias("copies"))
+    marked = scratch.save(marked, "marked")
+    scratch.drop(keys, firsts)
     postings = scratch.save(_postings(_tokens(texts, marked.filter("size(ks) > 0").select("doc", "ks"))).select("token", "doc", "k", "n", "p"), "postings")
     # Map-side sums come first: a token that a third of all lines post is one row of each task.
     counts = scratch.save(postings.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
-    stay, again = _by_rarity(postings, counts, texts, scratch)
+    moved, again = _by_rarity(postings, counts, texts, scratch)
     wanted = counts.select("token")
     if again is not None:
-        wanted = wanted.union(again.select("token")).distinct()
-    shared = stay.join(wanted, "token")
+        wanted = scratch.save(wanted.union(again.select("token")).distinct(), "wanted")
+    stay = scratch.save(postings.join(wanted, "token"), "stay")
+    scratch.drop(postings, counts, wanted)
+    shared = stay
     if again is not None:
-        shared = shared.unionByName(again)
-    shared = scratch.save(shared, "shared")
-    scratch.drop(postings)
+        shared = scratch.save(_without(stay, moved, moved.count()).unionByName(again), "shared")
+        scratch.drop(stay, moved, again)
     groups = shared.groupBy("token").agg(F.count("*").alias("c"), F.min("doc").alias("hub")).filter("c > 1").select("token", "hub")
-    shared = scratch.save(shared.join(groups, "token"), "grouped")
+    grouped = scratch.save(shared.join(groups, "token"), "grouped")
+    scratch.drop(shared)
+    shared = grouped
     y = shared.selectExpr("token", "hub", "doc", "k", "n AS n_y", "p AS p_y")
     x = shared.selectExpr("token", "doc AS x_doc", "k AS x_k", "n AS n_x", "p AS p_x", "hub AS x_hub")
     later = "(x_doc < doc OR x_doc = doc AND x_k < k)"
@@ -139,6 +151,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     similar = gone.union(more).groupBy("doc").agg(F.collect_set("k").alias("similar"))
     out = marked.join(similar, "doc", "left").select("doc", F.expr("array_union(copies, coalesce(similar, array()))").alias("gone")).filter("size(gone) > 0")
     out = scratch.save(out, "gone")
+    scratch.close(out)
     return out
 
 
