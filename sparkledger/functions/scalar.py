@@ -12,8 +12,9 @@ from ..session import ship
 
 # Error codes and whether a caller may retry.
 ERROR_CODES = {
-    "OK": False, "NOT_OWNER": True, "THROTTLED": True, "INTERNAL": True, "UNAVAILABLE": True, "TIMEOUT": True, "FENCED_EPOCH": False, "CHUNK_SEALED": False, "CHUNK_NOT_FOUND": False,
-    "FILE_NOT_FOUND": False, "OFFSET_MISMATCH": False, "BAD_REQUEST": False, "CRC_MISMATCH": True,
+    "OK": False, "UNKNOWN_OPCODE": False, "UNSUPPORTED_VERSION": False, "FENCED_EPOCH": False, "OFFSET_GAP": True, "CHUNK_NOT_FOUND": False, "CHUNK_SEALED": False,
+    "CHUNK_ALREADY_EXISTS": False, "OUT_OF_SPACE": False, "CRC_MISMATCH": False, "NOT_REGISTERED": False, "LEASE_EXPIRED": False, "THROTTLED": True, "CORRUPT_CHUNK": False,
+    "INTERNAL": True, "NOT_LEADER": True, "NO_CAPACITY": True, "FILE_NOT_FOUND": False, "FILE_SEALED": False, "PRECONDITION_FAILED": False,
 }
 
 
@@ -47,11 +48,12 @@ def valid_namespace(x: Column) -> Column:
 
 
 def valid_path(x: Column) -> Column:
-    """Absolute and canonical, at most 1024 bytes and 64 segments of at most 255 bytes."""
+    """Absolute and canonical, at most 1024 bytes and 64 segments of at most 255 bytes of letters, digits, dot, underscore and
+    hyphen; one name is reserved."""
     parts = F.slice(F.split(x, "/"), 2, 2000)
     return (
         x.startswith("/") & (F.length(x) > 1) & (F.octet_length(x) <= 1024) & (F.size(parts) <= 64)
-        & F.forall(parts, lambda p: (F.length(p) > 0) & ~p.isin(".", "..") & (F.octet_length(p) <= 255))
+        & F.forall(parts, lambda p: p.rlike("^[A-Za-z0-9._-]{1,255}$") & ~p.isin(".", "..", "__file"))
     )
 
 
@@ -60,9 +62,10 @@ def valid_policy(replicas: Column, quorum: Column) -> Column:
 
 
 def backoff(base_ms: int, attempt: Column, cap_ms: int, seed: Column) -> Column:
-    """Exponential backoff with a cap and up to a tenth of jitter from a seeded hash."""
-    wait = F.least(F.lit(float(cap_ms)), F.lit(float(base_ms)) * F.pow(F.lit(2.0), attempt))
-    return (wait + wait * F.pmod(F.xxhash64(seed, attempt), F.lit(1000)) / 10000).cast("bigint")
+    """Exponential backoff with up to a tenth of jitter from a digest of the seed, never beyond the cap."""
+    wait = F.least(F.lit(float(cap_ms)), F.lit(float(base_ms)) * F.pow(F.lit(2.0), attempt)).cast("bigint")
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), attempt.cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return F.least(F.lit(cap_ms).cast("bigint"), wait + F.pmod(draw, F.expr("1L") + F.floor(wait / 10)))
 
 
 def retriable(spark: SparkSession, codes: DataFrame, code: str) -> DataFrame:

@@ -14,42 +14,105 @@ FILE = ["namespace", "file_id"]
 LIFE = {"FileCreated": "OPEN", "FileSealed": "SEALED", "FileDeleting": "DELETING", "FileDeleted": "DELETED", "TombstoneSwept": "SWEPT"}
 
 
-def incarnations(log: DataFrame) -> DataFrame:
-    """The log with ``life``: how many times the file was created up to each record. Records before a creation are dropped."""
-    w = W.partitionBy(*FILE).orderBy("log_offset").rowsBetween(W.unboundedPreceding, 0)
-    return log.withColumn("life", F.sum(F.when(F.col("kind") == "FileCreated", 1).otherwise(0)).over(w)).filter("life > 0")
+def effective(log: DataFrame) -> DataFrame:
+    """Records that do something: a creation, or one of a file that was created and not swept since.
+
+    Adds ``life``, the creations up to the record, and ``changes``, the changes of the file's row up to it (an unbound path and
+    a sweep change none; ``weight`` counts a record as several).  One window, so one sort, for all of it.
+    """
+    w = W.partitionBy(*FILE).orderBy("log_offset")
+    mark = F.when(F.col("kind").isin("FileCreated", "TombstoneSwept"), F.col("kind"))
+    at = log if "weight" in log.columns else log.withColumn("weight", F.lit(1))
+    at = at.withColumn("_mark", F.last(mark, True).over(w.rowsBetween(W.unboundedPreceding, -1))).filter("kind = 'FileCreated' OR _mark = 'FileCreated'").drop("_mark")
+    up_to = w.rowsBetween(W.unboundedPreceding, 0)
+    return at.withColumns({
+        "life": F.sum(F.when(F.col("kind") == "FileCreated", 1).otherwise(0)).over(up_to),
+        "changes": F.sum(F.when(F.col("kind").isin("PathUnbound", "TombstoneSwept"), 0).otherwise(F.col("weight"))).over(up_to),
+    })
 
 
 def file_state(log: DataFrame) -> DataFrame:
     """Files as they are at the end of the log: state, writer epoch, path, tombstone time, version. Swept files are gone.
 
-    A version counts the records since the last sweep, without the creation that began it.
+    A version counts the changes since the last sweep, without the creation that began it; a repeated creation counts on.
     """
-    at = incarnations(log)
-    last = W.partitionBy(*FILE)
-    at = at.withColumn("lives", F.max("life").over(last)).filter("life = lives")
+    at = effective(log)
     state = F.create_map(*[F.lit(x) for kv in LIFE.items() for x in kv])
     # Of a record kind only its last row counts; max_by skips rows where the ordering is null.
     on = lambda cond: F.when(cond, F.col("log_offset"))
     per = at.groupBy(*FILE).agg(
         F.element_at(state, F.max_by("kind", on(F.col("kind").isin(*LIFE)))).alias("state"),
-        F.coalesce(F.max_by("write_epoch", on(F.col("kind") == "WriterEpochAllocated")), F.lit(0)).alias("writer_epoch"),
+        F.max_by(F.struct("life", "write_epoch"), on(F.col("kind") == "WriterEpochAllocated")).alias("_epoch"),
+        F.max("life").alias("_life"),
         F.max_by("path", on(F.col("kind") == "FileCreated")).alias("path"),
         F.max_by("at_ms", on(F.col("kind") == "FileDeleted")).alias("deleted_at_ms"),
-        (F.count("*") - 1).alias("version"),
+        (F.max("changes") - F.coalesce(F.max(F.when(F.col("kind") == "TombstoneSwept", F.col("changes"))), F.lit(0)) - 1).alias("version"),
     )
-    return per.filter("state <> 'SWEPT'").withColumn("deleted_at_ms", F.when(F.col("state") == "DELETED", F.col("deleted_at_ms")))
+    epoch = F.when(F.col("_epoch.life") == F.col("_life"), F.col("_epoch.write_epoch")).otherwise(0)
+    return per.filter("state <> 'SWEPT'").select(*FILE, "state", epoch.alias("writer_epoch"), "path", F.when(F.col("state") == "DELETED", F.col("deleted_at_ms")).alias("deleted_at_ms"), "version")
+
+
+def _last_life(log: DataFrame) -> DataFrame:
+    """Records of the last life of files that are not swept."""
+    every = W.partitionBy(*FILE)
+    at = effective(log).withColumns({"_lives": F.max("life").over(every), "_swept": F.max(F.when(F.col("kind") == "TombstoneSwept", F.col("life"))).over(every)})
+    return at.filter("life = _lives AND (_swept IS NULL OR _swept < _lives)").drop("_lives", "_swept")
 
 
 def chunk_state(log: DataFrame) -> DataFrame:
-    """Chunks of files that are not swept: the last of created, sealed and aborted of each index in the file's last life."""
-    at = incarnations(log)
-    at = at.withColumn("lives", F.max("life").over(W.partitionBy(*FILE))).filter("life = lives AND kind LIKE 'Chunk%'")
+    """Chunks of files that are not swept. A chunk begins with its creation and ends when it is aborted or deleted; what is
+    said of a chunk that is not there does nothing."""
+    w = W.partitionBy(*FILE, "idx").orderBy("log_offset").rowsBetween(W.unboundedPreceding, -1)
+    at = _last_life(log).filter("kind LIKE 'Chunk%'")
+    mark = F.when(F.col("kind") != "ChunkSealed", F.col("kind"))
+    at = at.withColumn("_mark", F.last(mark, True).over(w)).filter("kind <> 'ChunkSealed' OR _mark = 'ChunkCreated'")
     per = at.groupBy(*FILE, "idx").agg(F.max_by("kind", "log_offset").alias("kind"), F.max_by("length", "log_offset").alias("length"), F.max_by("write_epoch", "log_offset").alias("write_epoch"))
-    live = per.filter("kind IN ('ChunkCreated', 'ChunkSealed')").join(file_state(log).select(*FILE), FILE, "left_semi")
+    live = per.filter("kind IN ('ChunkCreated', 'ChunkSealed')")
     return live.select(*FILE, "idx", F.when(F.col("kind") == "ChunkSealed", "SEALED").otherwise("OPEN").alias("state"), "length", "write_epoch")
 
 
+def replica_lists(log: DataFrame) -> DataFrame:
+    """Replicas of each chunk from (file, idx, log_offset, kind, node_id, to_node): creation and seal give a whole list, a row
+    for each member; swap, drop and add edit it. A node is in if the last record that names it since the last list says so."""
+    key = [*FILE, "idx"]
+    begun = F.max(F.when(F.col("kind").isin("ChunkCreated", "ChunkSealed", "ChunkAborted", "ChunkDeleted"), F.col("log_offset"))).over(W.partitionBy(*key))
+    at = log.withColumn("_begun", begun).filter("log_offset >= _begun AND kind NOT IN ('ChunkAborted', 'ChunkDeleted')")
+    out = F.col("kind").isin("ReplicaSwapped", "ReplicaDropped")
+    named = at.select(*key, "log_offset", F.explode(F.array(F.struct(F.col("node_id").alias("node"), (~out).alias("there")), F.struct(F.col("to_node").alias("node"), F.lit(True).alias("there")))).alias("x")).select(*key, "log_offset", "x.*")
+    per = named.filter("node IS NOT NULL").groupBy(*key, "node").agg(F.max_by("there", "log_offset").alias("there"))
+    return per.groupBy(*key).agg(F.sort_array(F.expr("collect_list(CASE WHEN there THEN node END)")).alias("replicas"))
+
+
+def as_records(snapshot: DataFrame) -> DataFrame:
+    """A snapshot of files as the records that lead to it, before any of the log; the first one counts for its version."""
+    made = lambda step, kind, path="NULL", epoch="NULL", at="NULL", weight="0L": f"named_struct('log_offset', {step - 4}L, 'kind', {kind}, 'path', {path}, 'write_epoch', {epoch}, 'at_ms', {at}, 'weight', {weight})"
+    kind = "CASE state WHEN 'SEALED' THEN 'FileSealed' WHEN 'DELETING' THEN 'FileDeleting' ELSE 'FileDeleted' END"
+    rows = f"array({made(0, repr('FileCreated'), path='path', weight='version + 1')}, {made(1, repr('WriterEpochAllocated'), epoch='writer_epoch')}, CASE WHEN state <> 'OPEN' THEN {made(2, kind, at='deleted_at_ms')} END)"
+    return snapshot.select(*FILE, F.explode(F.expr(f"filter({rows}, x -> x IS NOT NULL)")).alias("r")).select(*FILE, "r.*")
+
+
+def resume(snapshot: DataFrame, tail: DataFrame) -> DataFrame:
+    """The state that the tail leads to from a snapshot: what folding the whole log gives."""
+    columns = [*FILE, "log_offset", "kind", "path", "write_epoch", "at_ms", "weight"]
+    return file_state(as_records(snapshot).select(columns).union(tail.withColumn("weight", F.lit(1).cast("bigint")).select(columns)))
+
+
+def usable_snapshot(manifests: DataFrame, snapshots: DataFrame, segments: DataFrame) -> DataFrame:
+    """The snapshot that each namespace recovers from: of the published generation if it is readable, else of the one before
+    if the log between them has no gap; refused otherwise.
+
+    manifests: namespace, generation; snapshots: namespace, generation, cut, readable; segments: namespace, first, last.
+    """
+    first = manifests.join(snapshots, ["namespace", "generation"], "left").select("namespace", "generation", F.coalesce("readable", F.lit(False)).alias("ok"), F.col("cut").alias("own_cut"))
+    before = snapshots.filter("readable").select("namespace", (F.col("generation") + 1).alias("generation"), F.col("cut").alias("old_cut"))
+    w = W.partitionBy("namespace").orderBy("first")
+    gaps = segments.withColumn("_gap", F.col("first") - F.lag("last").over(w) > 1).groupBy("namespace").agg(F.max(F.coalesce("_gap", F.lit(False))).alias("gap"), F.min("first").alias("starts"))
+    at = first.join(before, ["namespace", "generation"], "left").join(gaps, "namespace", "left")
+    whole = ~F.coalesce("gap", F.lit(False)) & (F.coalesce(F.col("starts"), F.col("old_cut")) <= F.col("old_cut"))
+    source = F.when(F.col("ok"), "CURRENT").when(F.col("old_cut").isNotNull() & whole, "PREVIOUS").otherwise("REFUSED")
+    return at.select("namespace", "generation", source.alias("source"), F.when(source == "CURRENT", F.col("own_cut")).when(source == "PREVIOUS", F.col("old_cut")).alias("cut"))
+
+
 def bindings(log: DataFrame) -> DataFrame:
     """Paths bound to files: the last creation at a path, unless the same file was unbound from it later."""
     at = log.filter("kind IN ('FileCreated', 'PathUnbound')")

@@ -33,23 +33,25 @@ def matches(report_state: str = "r_state") -> Column:
     return (F.col(report_state) == "SEALED") & F.col("r_length").eqNullSafe(F.col("length")) & F.col("r_crc").eqNullSafe(F.col("crc"))
 
 
-def verdicts(replicas: DataFrame, reports: DataFrame) -> DataFrame:
-    """What to do with each replica of a sealed chunk: keep, reseal, or drop it, but never the last live one.
+def verdicts(replicas: DataFrame, reports: DataFrame, nodes: DataFrame, now: int, grace: int, since: DataFrame, protected: DataFrame) -> DataFrame:
+    """What to do with each replica of a sealed chunk by its node's report, never dropping the last live one.
 
-    Replicas are judged in the order of their nodes; one that would be dropped stays if all its peers are bad or were
-    dropped before it in this pass.
+    Only nodes that live answer; without a report of theirs the replica is missing. Replicas are judged in the order of their
+    nodes: a bad one stays if no other member lives that was not dropped before it in this pass, waits until it has been bad
+    for the grace (since: replica, since_ms; not there: only now), and is left alone while a repair protects it.
     """
     got = reports.select(*CHUNK, "node_id", F.col("state").alias("r_state"), F.col("length").alias("r_length"), F.col("crc").alias("r_crc"))
-    at = replicas.filter("state = 'SEALED'").join(got, [*CHUNK, "node_id"], "left")
-    raw = (
-        F.when(F.col("r_state").isNull(), "drop-missing").when((F.col("r_state") != "SEALED") & (F.col("r_length") >= F.col("length")), "reseal").when(F.col("r_state") != "SEALED", "drop-not-sealed").when(~matches(), "drop-corrupt").otherwise("healthy")
-    )
-    at = at.withColumn("raw", raw)
-    drop = F.col("raw").startswith("drop")
+    at = with_nodes(replicas.filter("state = 'SEALED'"), nodes).withColumn("live", F.col("node_state") != "DEAD").join(got, [*CHUNK, "node_id"], "left")
+    at = at.join(since.select(*CHUNK, "node_id", "since_ms"), [*CHUNK, "node_id"], "left").join(protected.select(*CHUNK, "node_id").distinct().withColumn("safe", F.lit(True)), [*CHUNK, "node_id"], "left")
+    healthy, reseal = F.coalesce(matches(), F.lit(False)), F.coalesce((F.col("r_state") == "OPEN") & (F.col("r_length") >= F.col("length")), F.lit(False))
+    due = F.lit(now) - F.coalesce("since_ms", F.lit(now)) >= grace
+    bad = F.col("live") & F.col("safe").isNull() & ~healthy & ~reseal
     w = W.partitionBy(*CHUNK)
-    at = at.withColumns({"drops": F.sum(F.when(drop, 1).otherwise(0)).over(w), "size": F.count("*").over(w), "nth": F.sum(F.when(drop, 1).otherwise(0)).over(w.orderBy("node_id").rowsBetween(W.unboundedPreceding, 0))})
-    last = drop & (F.col("drops") == F.col("size")) & (F.col("nth") == F.col("size"))
-    return at.select(*CHUNK, "node_id", F.when(last, "keep-last-live").otherwise(F.col("raw")).alias("verdict"))
+    before = F.coalesce(F.sum(F.when(bad & due, 1).otherwise(0)).over(w.orderBy("node_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = at.withColumn("others", F.count_if("live").over(w) - F.when(F.col("live"), 1).otherwise(0) - before)
+    drop = F.when(F.col("r_state").isNull(), "drop-missing").when(F.col("r_state") != "SEALED", "drop-not-sealed").otherwise("drop-corrupt")
+    verdict = F.when(~F.col("live"), "no-answer").when(F.col("safe"), "protected").when(healthy, "healthy").when(reseal, "reseal").when(F.col("others") <= 0, "keep-last-live").when(~due, "in-grace").otherwise(drop)
+    return at.select(*CHUNK, "node_id", verdict.alias("verdict"))
 
 
 def readable(replicas: DataFrame, reports: DataFrame, quorum: int) -> DataFrame:

@@ -80,6 +80,7 @@ def unhealthy_since(samples: DataFrame, healthy: str, key: list[str], order: str
 
 
 def matched_product(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """left * on(labels) group_left right: right must have one row for each label set, and the larger value is taken if not."""
-    one = right.groupBy(*on).agg(F.max("value").alias("factor"))
+    """left * on(labels) group_left right. The right side must have one row for each label set; several are an error."""
+    one = right.groupBy(*on).agg(F.count("*").alias("_n"), F.max("value").alias("_v"))
+    one = one.select(*on, F.when(F.col("_n") == 1, F.col("_v")).otherwise(F.raise_error(F.lit("several rows on the right of a many-to-one match")).cast("bigint")).alias("factor"))
     return left.join(one, on).withColumn("product", F.col("value") * F.col("factor"))

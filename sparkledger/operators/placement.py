@@ -31,6 +31,11 @@ def eligible(nodes: DataFrame, now: int, grace: int) -> DataFrame:
     return nodes.filter((F.col("state") == "REGISTERED") & (F.try_add("lease_until_ms", F.lit(grace)) >= now) & (F.col("free_bytes") > 0))
 
 
+def without(nodes: DataFrame, excluded: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Nodes that are neither excluded themselves nor on an excluded host."""
+    return nodes.join(excluded.select("node_id").distinct(), "node_id", "left_anti").join(hosts.select("host").distinct(), "host", "left_anti")
+
+
 def place(requests: DataFrame, nodes: DataFrame, count: int, seed: int) -> DataFrame:
     """Weighted choice without replacement of ``count`` nodes on distinct hosts for each request.
 

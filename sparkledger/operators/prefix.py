@@ -22,12 +22,14 @@ def ledger_prefix(entries: DataFrame) -> DataFrame:
     return valid_prefix(at, ~F.col("entry_ok") | (F.col("end_offset") <= F.col("_before"))).drop("_before")
 
 
-def recover(entries: DataFrame) -> DataFrame:
-    """Verified end per file after a crash: entry, data and payload must all be good; the durable offset is clamped to it."""
+def recover(entries: DataFrame, durable: DataFrame) -> DataFrame:
+    """Verified end per file after a crash: entry, data and payload must all be good; the durable offset known before is
+    clamped to it."""
     good = valid_prefix(entries, ~(F.col("entry_ok") & F.col("data_present") & F.col("payload_ok")))
     ends = good.groupBy(*KEY).agg(F.max("end_offset").alias("verified_end"), F.count("*").alias("n_entries"))
     all_ = entries.groupBy(*KEY).agg(F.max("end_offset").alias("claimed_end"))
-    return all_.join(ends, KEY, "left").select(*KEY, "claimed_end", F.coalesce("verified_end", F.lit(0)).alias("verified_end"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), (F.coalesce("verified_end", F.lit(0)) < F.col("claimed_end")).alias("truncated"))
+    known = F.least(F.coalesce("durable_offset", F.lit(0)), F.coalesce("verified_end", F.lit(0)))
+    return all_.join(ends, KEY, "left").join(durable.select(*KEY, "durable_offset"), KEY, "left").select(*KEY, "claimed_end", known.alias("durable_offset"), F.coalesce("verified_end", F.lit(0)).alias("verified_end"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), (F.coalesce("verified_end", F.lit(0)) < F.col("claimed_end")).alias("truncated"))
 
 
 def bounded_log_prefix(records: DataFrame, most: int, skip: int = 0) -> DataFrame:

@@ -78,8 +78,61 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
              UNION ALL SELECT namespace, file_id, 6, -1, 'PathUnbound', path, NULL, NULL, NULL FROM {files} WHERE state IN ('DELETING', 'DELETED')
              UNION ALL SELECT namespace, file_id, 7, -1, 'FileDeleted', NULL, NULL, NULL, deleted_ms FROM {files} WHERE state = 'DELETED'
              UNION ALL SELECT namespace, file_id, 8, -1, 'TombstoneSwept', NULL, NULL, NULL, NULL FROM {files} WHERE state = 'DELETED' AND file_id % 2 = 0
+             UNION ALL SELECT namespace, file_id, 8, 0, 'FileSealed', NULL, NULL, NULL, NULL FROM {files} WHERE state = 'DELETED' AND file_id % 6 = 0
+             UNION ALL SELECT namespace, file_id, 3, 99, 'ChunkSealed', NULL, 5, 1, NULL FROM {files} WHERE file_id % 5 = 0
              UNION ALL SELECT namespace, file_id, 9, -1, 'FileCreated', path || '/again', NULL, NULL, created_ms + 7 FROM {files} WHERE state = 'DELETED' AND file_id % 4 = 0) e""",
     ),
+    "replica_log": (
+        ("replicas",),
+        """SELECT namespace, file_id, idx, 1 AS log_offset, 'ChunkCreated' AS kind, node_id, CAST(NULL AS BIGINT) AS to_node FROM {replicas}
+           UNION ALL SELECT namespace, file_id, idx, 2, 'ChunkSealed', node_id, NULL FROM {replicas} WHERE state = 'SEALED' AND (partkey + node_id) % 4 <> 0
+           UNION ALL SELECT namespace, file_id, idx, 3, 'ReplicaSwapped', max(node_id), 100000 + max(node_id) FROM {replicas} WHERE state = 'SEALED' AND partkey % 3 = 0 AND (partkey + node_id) % 4 <> 0 GROUP BY namespace, file_id, idx
+           UNION ALL SELECT namespace, file_id, idx, 4, 'ReplicaDropped', 100000 + max(node_id), NULL FROM {replicas} WHERE state = 'SEALED' AND partkey % 6 = 0 AND (partkey + node_id) % 4 <> 0 GROUP BY namespace, file_id, idx
+           UNION ALL SELECT DISTINCT namespace, file_id, idx, 5, 'ReplicaAdded', 200000 + partkey % 7, CAST(NULL AS BIGINT) FROM {replicas} WHERE partkey % 5 = 0
+           UNION ALL SELECT DISTINCT namespace, file_id, idx, 6, 'ChunkDeleted', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM {replicas} WHERE partkey % 23 = 0""",
+    ),
+    "replica_states": (
+        ("replicas",),
+        """SELECT namespace, file_id, idx, node_id, CASE (partkey + node_id) % 5 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'DELETING' ELSE 'SEALED' END AS state, length AS local_end,
+             length - (partkey * 3 + node_id) % 4 - CASE WHEN (partkey + node_id) % 31 = 0 THEN 100 ELSE 0 END AS last_known_do, write_epoch, write_epoch + node_id % 2 AS fence_epoch, length - partkey % 2 AS sealed_length,
+             length - (partkey + 2 * node_id) % 9 AS flushed, write_epoch + (partkey + node_id) % 3 AS ask_epoch, length - node_id % 3 AS ask_length, partkey FROM {replicas}""",
+    ),
+    "aborts": (
+        ("chunks",),
+        """SELECT namespace, file_id, idx + CASE WHEN partkey % 8 = 0 THEN 50 ELSE 0 END AS idx, write_epoch + partkey % 3 - 1 AS write_epoch, suppkey + CASE WHEN partkey % 5 = 0 THEN 1 ELSE 0 END AS op FROM {chunks}""",
+    ),
+    "registrations": (
+        ("nodes",),
+        """SELECT CASE WHEN node_id % 10 = 3 THEN -node_id ELSE node_id END AS node_id, node_id + CASE WHEN node_id % 3 = 0 THEN 1 ELSE 0 END AS incarnation, CASE WHEN node_id % 13 = 1 THEN 'noport' ELSE endpoint END AS endpoint,
+             'z' || CAST(zone AS VARCHAR(4)) AS zone, CASE WHEN node_id % 17 = 2 THEN ' ' ELSE 'r1' END AS rack, host, CASE WHEN node_id % 19 = 4 THEN 0 ELSE 10000 END AS capacity_bytes FROM {nodes}""",
+    ),
+    "completions": (
+        ("events",),
+        """SELECT event_id % 3000 AS command_id, user_id % 8 AS node_id, 1 + event_id % 2 AS session_epoch, event_id % 3 AS status, event_id * 250 AS at_ms FROM {events}""",
+    ),
+    "inflight": (
+        ("events",),
+        """SELECT event_id AS command_id, user_id % 8 AS executing_node FROM {events} WHERE event_id < 2500""",
+    ),
+    "responses": (
+        ("events",),
+        """SELECT user_id * 100 + event_id % 20 AS request, event_id AS attempt, event_id % 3 AS node_id, event_id % 4 <> 0 AS ok, event_id % 2 = 0 AS sealed, event_id % 50 AS at_offset, 16 AS want,
+             event_id % 19 AS got, 60 AS end_at, CASE WHEN event_id % 11 = 0 THEN 61 ELSE 40 + event_id % 20 END AS durable FROM {events}""",
+    ),
+    "holdings": (
+        ("replicas",),
+        """SELECT namespace, file_id, idx, node_id, length - node_id % 2 AS end_at, length - 1 AS to_offset, CASE WHEN (partkey + node_id) % 13 = 0 THEN NULL WHEN (partkey + node_id) % 7 < 2 THEN 'x' || CAST(node_id % 2 AS VARCHAR(4)) ELSE 'good' END AS digest FROM {replicas}""",
+    ),
+    "images": (
+        ("replicas",),
+        """SELECT namespace, file_id, idx, node_id, file_id AS chunk_id, file_id + CASE WHEN (partkey + node_id) % 11 = 0 THEN 1 ELSE 0 END AS header_id, length, length - CASE WHEN (partkey + node_id) % 13 = 0 THEN 1 ELSE 0 END AS trailer_length, crc,
+             crc + CASE WHEN (partkey + node_id) % 17 = 0 THEN 1 ELSE 0 END AS data_crc, crc + CASE WHEN (partkey + node_id) % 19 = 0 THEN 1 ELSE 0 END AS trailer_crc, 64 AS header_size, 64 + length + CASE WHEN (partkey + node_id) % 23 = 0 THEN 1 ELSE 0 END AS footer_start,
+             64 + length + CASE WHEN (partkey + node_id) % 46 = 0 THEN 0 ELSE 8 END AS trailer_offset, 7 AS footer_crc, 7 + CASE WHEN (partkey + node_id) % 29 = 0 THEN 1 ELSE 0 END AS trailer_footer_crc FROM {replicas}""",
+    ),
+    "probes": (
+        ("replicas",),
+        """SELECT namespace, file_id, idx, node_id, partkey % 3 = 0 AS trailer_ok, node_id % 2 = 0 AS trailer_like, partkey % 4 > 1 AS has_sidecar, partkey % 5 > 0 AS sidecar_ok, partkey % 7 > 2 AS has_ledger, length - partkey % 2 AS ledger_end, length AS data_length FROM {replicas}""",
+    ),
     "samples": (
         ("events",),
         """SELECT event_type AS metric, CAST(user_id % 8 AS BIGINT) AS instance, user_id AS series, event_id * 250 AS ts_ms,

@@ -44,13 +44,6 @@ def chunks_on_dead_nodes(b):
 REPORTED = ", a AS (SELECT r.*, p.state AS rs, p.length AS rl, p.crc AS rc FROM replicas r LEFT JOIN reports p ON " + ON.format("p", "r") + " AND p.node_id = r.node_id WHERE r.state = 'SEALED')"
 
 
-@query("replica_verdicts", "replicas reports", REPORTED + """, v AS (SELECT *, CASE WHEN rs IS NULL THEN 'drop-missing' WHEN rs <> 'SEALED' AND rl >= length THEN 'reseal' WHEN rs <> 'SEALED' THEN 'drop-not-sealed' WHEN rl = length AND rc = crc THEN 'healthy' ELSE 'drop-corrupt' END AS raw FROM a),
-g AS (SELECT namespace, file_id, idx, bool_and(raw LIKE 'drop%') AS lost, max(node_id) AS last FROM v GROUP BY namespace, file_id, idx)
-SELECT v.namespace, v.file_id, v.idx, v.node_id, CASE WHEN lost AND v.node_id = last THEN 'keep-last-live' ELSE raw END AS verdict FROM v JOIN g ON """ + ON.format("g", "v"))
-def replica_verdicts(b):
-    return H.verdicts(b.replicas, b.reports)
-
-
 @query("readable_replicas", "replicas reports", REPORTED + " SELECT namespace, file_id, idx, count(*) FILTER (WHERE rs = 'SEALED' AND rl = length AND rc = crc) AS readable, count(*) AS members, count(*) FILTER (WHERE rs = 'SEALED' AND rl = length AND rc = crc) >= 2 AS quorum, count(*) FILTER (WHERE rs = 'SEALED' AND rl = length AND rc = crc) = count(*) AS \"full\" FROM a GROUP BY namespace, file_id, idx")
 def readable_replicas(b):
     return H.readable(b.replicas, b.reports, 2)

@@ -21,10 +21,10 @@ def shard_paths(b):
 
 
 NAMES = "CASE file_id % 6 WHEN 0 THEN '..' WHEN 1 THEN '__x' WHEN 2 THEN 'a b' WHEN 3 THEN '' ELSE namespace END"
-PATHS = "CASE file_id % 5 WHEN 0 THEN path || '/' WHEN 1 THEN 'x' || path WHEN 2 THEN path || '/../y' ELSE path END"
+PATHS = "CASE file_id % 7 WHEN 0 THEN path || '/' WHEN 1 THEN 'x' || path WHEN 2 THEN path || '/../y' WHEN 3 THEN path || '/a b' WHEN 4 THEN '/__files' || path WHEN 5 THEN '/__file/' || path ELSE path END"
 
 
-@query("valid_names", "files", f", n AS (SELECT file_id, {NAMES} AS name, {PATHS} AS p FROM files) SELECT file_id, regexp_full_match(name, '[A-Za-z0-9._-]{{1,255}}') AND name NOT IN ('.', '..') AND NOT starts_with(name, '__') AS name_ok, file_id % 5 > 2 AS path_ok FROM n")
+@query("valid_names", "files", f", n AS (SELECT file_id, {NAMES} AS name, {PATHS} AS p FROM files) SELECT file_id, regexp_full_match(name, '[A-Za-z0-9._-]{{1,255}}') AND name NOT IN ('.', '..') AND NOT starts_with(name, '__') AS name_ok, file_id % 7 IN (4, 6) AS path_ok FROM n")
 def valid_names(b):
     at = b.files.select("file_id", F.expr(NAMES).alias("name"), F.expr(PATHS).alias("p"))
     return at.select("file_id", X.valid_namespace(F.col("name")).alias("name_ok"), X.valid_path(F.col("p")).alias("path_ok"))
@@ -36,15 +36,16 @@ def valid_policies(b):
     return at.withColumn("ok", X.valid_policy(F.col("rf"), F.col("q")))
 
 
-CODE = "CASE event_id % 5 WHEN 0 THEN 'THROTTLED' WHEN 1 THEN 'FENCED_EPOCH' WHEN 2 THEN 'NEW_CODE' WHEN 3 THEN 'OK' ELSE 'NOT_OWNER' END"
+CODE = "CASE event_id % 9 WHEN 0 THEN 'THROTTLED' WHEN 1 THEN 'FENCED_EPOCH' WHEN 2 THEN 'NEW_CODE' WHEN 3 THEN 'OK' WHEN 4 THEN 'NOT_LEADER' WHEN 5 THEN 'CRC_MISMATCH' WHEN 6 THEN 'OFFSET_GAP' WHEN 7 THEN 'NO_CAPACITY' ELSE 'LEASE_EXPIRED' END"
 
 
-@query("retriable_codes", "records", f"SELECT {CODE} AS code, {CODE} IN ('THROTTLED', 'NEW_CODE', 'NOT_OWNER') AS retriable, count(*) AS n FROM records GROUP BY ALL")
+@query("retriable_codes", "records", f"SELECT {CODE} AS code, {CODE} IN ('THROTTLED', 'NEW_CODE', 'NOT_LEADER', 'OFFSET_GAP', 'NO_CAPACITY') AS retriable, count(*) AS n FROM records GROUP BY ALL")
 def retriable_codes(b):
     return X.retriable(b.spark, b.records.select(F.expr(CODE).alias("code")), "code").groupBy("code", "retriable").agg(F.count("*").alias("n"))
 
 
-@query("backoff_delays")
+@query("backoff_delays", "", """WITH w AS (SELECT event_id, CAST(least(5000, 20 * pow(2, event_id % 12)) AS BIGINT) AS wait, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':' || CAST(event_id % 12 AS VARCHAR)), 1, 8) AS BIGINT) AS draw FROM events)
+SELECT event_id, least(5000, wait + draw % (1 + wait // 10)) AS wait_ms FROM w""")
 def backoff_delays(b):
     return b.events.select("event_id", X.backoff(20, F.col("event_id") % 12, 5000, F.col("event_id")).alias("wait_ms"))
 

@@ -100,11 +100,11 @@ def ledger_prefix(b):
     return P.ledger_prefix(b.entries).groupBy(*O.KEY).agg(F.count("*").alias("n"), F.max("end_offset").alias("prefix_end"))
 
 
-@query("crash_recovery", "entries", """, b AS (SELECT namespace, file_id, min(seq) FILTER (WHERE NOT (entry_ok AND data_present AND payload_ok)) AS bad, max(end_offset) AS claimed_end FROM entries GROUP BY ALL)
-SELECT b.namespace, b.file_id, claimed_end, coalesce(max(e.end_offset), 0) AS verified_end, count(e.seq) AS n_entries, coalesce(max(e.end_offset), 0) < claimed_end AS truncated
-FROM b LEFT JOIN entries e ON e.namespace = b.namespace AND e.file_id = b.file_id AND (bad IS NULL OR e.seq < bad) GROUP BY b.namespace, b.file_id, claimed_end""")
+@query("crash_recovery", "entries acks", DURABLE + """, b AS (SELECT namespace, file_id, min(seq) FILTER (WHERE NOT (entry_ok AND data_present AND payload_ok)) AS bad, max(end_offset) AS claimed_end FROM entries GROUP BY ALL)
+SELECT b.namespace, b.file_id, claimed_end, least(coalesce(max(d.durable_offset), 0), coalesce(max(e.end_offset), 0)) AS durable_offset, coalesce(max(e.end_offset), 0) AS verified_end, count(e.seq) AS n_entries, coalesce(max(e.end_offset), 0) < claimed_end AS truncated
+FROM b LEFT JOIN entries e ON e.namespace = b.namespace AND e.file_id = b.file_id AND (bad IS NULL OR e.seq < bad) LEFT JOIN d ON d.namespace = b.namespace AND d.file_id = b.file_id GROUP BY b.namespace, b.file_id, claimed_end""")
 def crash_recovery(b):
-    return P.recover(b.entries)
+    return P.recover(b.entries, O.quorum_offsets(b.acks, 2))
 
 
 @query("bounded_log_prefix", "records", ", b AS (SELECT namespace, file_id, min(seq) AS bad FROM records WHERE length > 30 GROUP BY ALL) SELECT r.namespace, r.file_id, r.seq FROM records r LEFT JOIN b ON b.namespace = r.namespace AND b.file_id = r.file_id WHERE (bad IS NULL OR r.seq < bad) AND r.seq > 2")

@@ -6,11 +6,12 @@ from ..operators import fold as S
 from ..operators import metrics as M
 from .registry import query
 
-LIFE = """, i AS (SELECT *, sum(CASE WHEN kind = 'FileCreated' THEN 1 ELSE 0 END) OVER (PARTITION BY namespace, file_id ORDER BY log_offset) AS life FROM meta_log),
-m AS (SELECT *, max(life) OVER (PARTITION BY namespace, file_id) AS lives FROM i), x AS (SELECT * FROM m WHERE life = lives),
-s AS (SELECT namespace, file_id, arg_max(kind, log_offset) FILTER (WHERE kind IN ('FileCreated', 'FileSealed', 'FileDeleting', 'FileDeleted', 'TombstoneSwept')) AS k, coalesce(arg_max(write_epoch, log_offset) FILTER (WHERE kind = 'WriterEpochAllocated'), 0) AS writer_epoch,
- arg_max(path, log_offset) FILTER (WHERE kind = 'FileCreated') AS path, max(at_ms) FILTER (WHERE kind = 'FileDeleted') AS deleted_at_ms, count(*) - 1 AS version FROM x GROUP BY ALL),
-f AS (SELECT namespace, file_id, CASE k WHEN 'FileCreated' THEN 'OPEN' WHEN 'FileSealed' THEN 'SEALED' WHEN 'FileDeleting' THEN 'DELETING' ELSE 'DELETED' END AS state, writer_epoch, path, CASE WHEN k = 'FileDeleted' THEN deleted_at_ms END AS deleted_at_ms, version FROM s WHERE k <> 'TombstoneSwept')"""
+LIFE = """, e AS (SELECT *, last_value(CASE WHEN kind IN ('FileCreated', 'TombstoneSwept') THEN kind END IGNORE NULLS) OVER (PARTITION BY namespace, file_id ORDER BY log_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM meta_log),
+x AS (SELECT * FROM e WHERE kind = 'FileCreated' OR pm = 'FileCreated'),
+b AS (SELECT namespace, file_id, coalesce(max(log_offset) FILTER (WHERE kind = 'TombstoneSwept'), -1) AS sw, max(log_offset) FILTER (WHERE kind = 'FileCreated') AS cr FROM x GROUP BY ALL),
+s AS (SELECT x.namespace, x.file_id, arg_max(kind, log_offset) FILTER (WHERE kind IN ('FileCreated', 'FileSealed', 'FileDeleting', 'FileDeleted', 'TombstoneSwept')) AS k, coalesce(arg_max(write_epoch, log_offset) FILTER (WHERE kind = 'WriterEpochAllocated' AND log_offset > cr), 0) AS writer_epoch,
+ arg_max(path, log_offset) FILTER (WHERE kind = 'FileCreated') AS path, arg_max(at_ms, log_offset) FILTER (WHERE kind = 'FileDeleted') AS deleted_at_ms, count(*) FILTER (WHERE log_offset > sw AND kind NOT IN ('PathUnbound', 'TombstoneSwept')) - 1 AS version FROM x JOIN b ON b.namespace = x.namespace AND b.file_id = x.file_id GROUP BY x.namespace, x.file_id),
+f AS (SELECT namespace, file_id, CASE k WHEN 'FileCreated' THEN 'OPEN' WHEN 'FileSealed' THEN 'SEALED' WHEN 'FileDeleting' THEN 'DELETING' ELSE 'DELETED' END AS state, writer_epoch, path, CASE WHEN k = 'FileDeleted' THEN deleted_at_ms END AS deleted_at_ms, CAST(version AS BIGINT) AS version FROM s WHERE k <> 'TombstoneSwept')"""
 
 
 @query("fold_files", "meta_log", LIFE + " SELECT * FROM f")
@@ -18,12 +19,27 @@ def fold_files(b):
     return S.file_state(b.meta_log)
 
 
-@query("fold_chunks", "meta_log", LIFE + """, c AS (SELECT namespace, file_id, idx, arg_max(kind, log_offset) AS k, max(length) AS length, max(write_epoch) AS write_epoch FROM x WHERE kind LIKE 'Chunk%' GROUP BY ALL)
+@query("fold_from_snapshot", "meta_log", LIFE + " SELECT * FROM f")
+def fold_from_snapshot(b):
+    """The whole fold, by way of a snapshot at a cut and the records after it."""
+    return S.resume(*S.snapshot_tail(b.meta_log, 2000))
+
+
+@query("fold_chunks", "meta_log", LIFE + """, c AS (SELECT x.namespace, x.file_id, idx, arg_max(kind, log_offset) AS k, arg_max(length, log_offset) AS length, arg_max(write_epoch, log_offset) AS write_epoch FROM x JOIN b ON b.namespace = x.namespace AND b.file_id = x.file_id
+ WHERE kind LIKE 'Chunk%' AND log_offset > cr AND EXISTS (SELECT 1 FROM meta_log m WHERE m.namespace = x.namespace AND m.file_id = x.file_id AND m.idx = x.idx AND m.kind = 'ChunkCreated' AND m.log_offset <= x.log_offset) GROUP BY ALL)
 SELECT c.namespace, c.file_id, c.idx, CASE k WHEN 'ChunkSealed' THEN 'SEALED' ELSE 'OPEN' END AS state, length, write_epoch FROM c JOIN f ON f.namespace = c.namespace AND f.file_id = c.file_id WHERE k <> 'ChunkAborted'""")
 def fold_chunks(b):
     return S.chunk_state(b.meta_log)
 
 
+@query("fold_replicas", "replica_log", """, n AS (SELECT namespace, file_id, idx, log_offset, node_id AS node, kind NOT IN ('ReplicaSwapped', 'ReplicaDropped') AS there FROM replica_log WHERE kind NOT IN ('ChunkDeleted') UNION ALL SELECT namespace, file_id, idx, log_offset, to_node, true FROM replica_log WHERE kind = 'ReplicaSwapped'),
+r AS (SELECT namespace, file_id, idx, max(log_offset) FILTER (WHERE kind IN ('ChunkCreated', 'ChunkSealed')) AS begun, bool_or(kind = 'ChunkDeleted') AS gone FROM replica_log GROUP BY ALL),
+l AS (SELECT n.namespace, n.file_id, n.idx, node, arg_max(there, log_offset) AS there FROM n JOIN r USING (namespace, file_id, idx) WHERE NOT gone AND log_offset >= begun GROUP BY ALL)
+SELECT namespace, file_id, idx, array_to_string(coalesce(list_sort(list(node) FILTER (WHERE there)), []), ',') AS nodes FROM l GROUP BY ALL""")
+def fold_replicas(b):
+    return S.replica_lists(b.replica_log).select("namespace", "file_id", "idx", F.array_join("replicas", ",").alias("nodes"))
+
+
 @query("path_bindings", "meta_log", """, c AS (SELECT namespace, path, max(log_offset) AS at_ FROM meta_log WHERE kind = 'FileCreated' GROUP BY ALL)
 SELECT m.namespace, m.path, m.file_id FROM c JOIN meta_log m ON m.namespace = c.namespace AND m.log_offset = c.at_ WHERE NOT EXISTS (SELECT 1 FROM meta_log u WHERE u.kind = 'PathUnbound' AND u.namespace = m.namespace AND u.path = m.path AND u.file_id = m.file_id AND u.log_offset > c.at_)""")
 def path_bindings(b):
@@ -222,5 +238,5 @@ def unhealthy_since(b):
 
 @query("leader_product", "samples", ", l AS (SELECT metric, instance, series, arg_max(gauge, ts_ms) AS value FROM samples GROUP BY ALL), r AS (SELECT instance, max(CASE WHEN instance % 2 = 0 THEN 1 ELSE 0 END) AS factor FROM samples GROUP BY instance) SELECT l.instance, metric, series, value, value * factor AS product FROM l JOIN r ON r.instance = l.instance")
 def leader_product(b):
-    right = b.samples.select("instance", F.when(F.col("instance") % 2 == 0, 1).otherwise(0).alias("value"))
+    right = b.samples.select("instance", F.when(F.col("instance") % 2 == 0, 1).otherwise(0).alias("value")).distinct()
     return M.matched_product(M.instant(b.samples, "gauge"), right, ["instance"]).select("instance", "metric", "series", "value", "product")

@@ -14,9 +14,10 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application, unless their path holds it already."""
+    """Send the package to the executors, once per application, unless they are threads of the driver that find it by themselves."""
     app = spark.sparkContext.applicationId
-    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    # The driver's own folders say nothing about other machines; only in local mode are they the workers' folders as well.
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if spark.sparkContext.master.startswith("local[") else []
     if app in _SHIPPED or any(p and Path(p).resolve() == ROOT.parent for p in paths):
         return
     target = Path(tempfile.mkdtemp()) / "sparkledger.zip"

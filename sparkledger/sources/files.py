@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,29 +22,53 @@ def walk_chunks(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return chunks, at.filter("NOT ok").select("path", "length")
 
 
-def write_snapshot(state: DataFrame, root: str, cut: int) -> str:
-    """Write a state as of a log cut and make it current. The pointer is a file that is renamed into place, so readers see
-    the old or the new snapshot and never part of one."""
+def _paths(spark: SparkSession, root: str):
+    """The file system of a folder, and a function from names to paths in it."""
+    path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{x}" if x else root)
+    return path("").getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def snapshot_version(spark: SparkSession, root: str) -> int:
+    """The version of the published snapshot; 0 before the first."""
+    fs, path = _paths(spark, root)
+    names = [x.getPath().getName() for x in fs.listStatus(path(""))] if fs.exists(path("")) else []
+    return max([int(n.removeprefix("manifest-")) for n in names if re.fullmatch(r"manifest-\d{12}", n)], default=0)
+
+
+def write_snapshot(state: DataFrame, root: str, cut: int, expected: int | None = None) -> int:
+    """Write a state as of a log cut and publish it as the version after ``expected`` (the current one if not given).
+
+    Each version is a manifest file of its own that is created exclusively, once its snapshot is complete: of two writers that
+    expect the same version one fails with FileExistsError and deletes nothing of the other's, and readers always find one.
+    """
     spark = state.sparkSession
+    if expected is None:
+        expected = snapshot_version(spark, root)
     name = f"snapshot-{cut}-{uuid.uuid4().hex[:8]}"
     state.write.parquet(f"{root}/{name}")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = lambda x: jvm.org.apache.hadoop.fs.Path(f"{root}/{x}")
-    fs = path("").getFileSystem(conf)
-    pending, current = path(f"_manifest-{name}"), path("manifest.txt")
-    out = fs.create(pending, True)
+    fs, path = _paths(spark, root)
+    try:
+        out = fs.create(path(f"manifest-{expected + 1:012d}"), False)
+    except Exception as e:
+        fs.delete(path(name), True)
+        raise FileExistsError(f"version {expected + 1} was published meanwhile") from e
     out.write(f"{name}\n{cut}\n".encode())
     out.close()
-    fs.delete(current, False)
-    if not fs.rename(pending, current):
-        raise OSError("another snapshot was published meanwhile")
-    return name
+    return expected + 1
 
 
 def read_snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
-    """The current snapshot and its cut; records at or after the cut are still to be folded."""
-    name, cut = (r[0] for r in spark.read.text(f"{root}/manifest.txt").collect()[:2])
-    return spark.read.parquet(f"{root}/{name}"), int(cut)
+    """The current snapshot and its cut; records at or after the cut are still to be folded. A manifest that is not written to
+    its end does not count, and a snapshot that fails to read is tried once more."""
+    for version in range(snapshot_version(spark, root), 0, -1):
+        lines = [r[0] for r in spark.read.text(f"{root}/manifest-{version:012d}", wholetext=True).collect()]
+        if lines and lines[0].count("\n") == 2:
+            name, cut = lines[0].split()
+            try:
+                return spark.read.parquet(f"{root}/{name}"), int(cut)
+            except AnalysisException:
+                return spark.read.parquet(f"{root}/{name}"), int(cut)
+    raise FileNotFoundError(f"no snapshot in {root}")
 
 
 def parse_exposition(lines: DataFrame, column: str = "value") -> DataFrame:

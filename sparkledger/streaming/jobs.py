@@ -17,7 +17,11 @@ DECISIONS = "namespace string, file_id bigint, event_id bigint, accepted boolean
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="sparkledger-stream-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="sparkledger-stream-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -29,7 +33,8 @@ def appends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per file: fencing comes before contiguity, an accepted append moves the end; rows of a trigger are taken in order."""
+    """Per file: fencing comes first, an accepted append moves the end; rows of a trigger are taken in order, so the requests,
+    which carry lengths and no base, are contiguous by themselves."""
     end, fence = state.get if state.exists else (0, 0)
     rows = pd.concat(list(batches)).sort_values("event_id")
     out = []

@@ -1,10 +1,13 @@
 """Small literal cases for semantics that the synthetic tables do not reach."""
 
+import random
+
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparkledger.functions import scalar as X
-from sparkledger.operators import fold, gc, metrics, offsets, placement, prefix, votes
+from sparkledger.operators import fold, gc, health, metrics, offsets, placement, prefix, votes
 from sparkledger.sources import files as sources
 
 
@@ -47,8 +50,9 @@ def test_prefix_stops_at_the_first_bad_entry(spark):
     e = frame(spark, "namespace string, file_id long, seq long, end_offset long, payload_ok boolean, entry_ok boolean, data_present boolean",
               [("a", 1, 1, 10, True, True, True), ("a", 1, 2, 20, True, False, True), ("a", 1, 3, 30, True, True, True), ("b", 2, 1, 5, False, True, True), ("c", 3, 1, 5, True, True, True)])
     assert {(r.namespace, r.seq) for r in prefix.ledger_prefix(e).collect()} == {("a", 1), ("b", 1), ("c", 1)}
-    got = {r.namespace: (r.verified_end, r.truncated) for r in prefix.recover(e).collect()}
-    assert got == {"a": (10, True), "b": (0, True), "c": (5, False)}
+    durable = frame(spark, "namespace string, file_id long, durable_offset long", [("a", 1, 20), ("c", 3, 4)])
+    got = {r.namespace: (r.verified_end, r.durable_offset, r.truncated) for r in prefix.recover(e, durable).collect()}
+    assert got == {"a": (10, 10, True), "b": (0, 0, True), "c": (5, 4, False)}
 
 
 def test_ledger_must_increase(spark):
@@ -92,6 +96,67 @@ def test_fold_delete_and_sweep(spark):
     assert [r.state for r in one(made, going, gone, swept, made)] == ["OPEN"]
 
 
+def test_fold_ignores_what_is_not_there(spark):
+    made, sealed, swept = ("FileCreated", 1, -1, "/a", None, None, 1), ("FileSealed", 1, -1, None, None, None, None), ("TombstoneSwept", 1, -1, None, None, None, None)
+    chunk, chunk_sealed = ("ChunkCreated", 1, 0, None, 0, 1, None), ("ChunkSealed", 1, 0, None, 9, 1, None)
+    assert fold.file_state(log(spark, sealed, made, swept, sealed)).count() == 0
+    assert fold.chunk_state(log(spark, made, chunk_sealed)).count() == 0
+    assert [r.length for r in fold.chunk_state(log(spark, made, chunk, chunk_sealed, chunk)).collect()] == [0]
+    assert fold.chunk_state(log(spark, made, chunk, swept, made)).count() == 0
+    again = fold.file_state(log(spark, made, sealed, made, chunk)).first()
+    assert (again.state, again.version) == ("OPEN", 3)
+    gone = fold.file_state(log(spark, made, sealed, swept, made, chunk)).first()
+    assert (gone.state, gone.version) == ("OPEN", 1)
+
+
+def test_replica_edits(spark):
+    rows = [("t", 1, 0, 1, "ChunkSealed", n, None) for n in (1, 2, 3)] + [("t", 1, 0, 2, "ReplicaSwapped", 3, 4), ("t", 1, 0, 3, "ReplicaDropped", 4, None), ("t", 1, 0, 4, "ReplicaAdded", 5, None)]
+    rows += [("t", 2, 0, 1, "ChunkCreated", n, None) for n in (1, 2, 3)] + [("t", 2, 0, 2, "ChunkSealed", n, None) for n in (1, 2)] + [("t", 3, 0, 1, "ChunkCreated", 1, None), ("t", 3, 0, 2, "ChunkDeleted", None, None)]
+    got = {r.file_id: r.replicas for r in fold.replica_lists(frame(spark, "namespace string, file_id long, idx long, log_offset long, kind string, node_id long, to_node long", rows)).collect()}
+    assert got == {1: [1, 2, 5], 2: [1, 2]}
+
+
+def test_snapshot_and_tail_give_the_whole_fold(spark):
+    rng = random.Random(3)
+    kinds = [("FileCreated", "/p"), ("FileSealed", None), ("WriterEpochAllocated", None), ("FileDeleting", None), ("FileDeleted", None), ("TombstoneSwept", None), ("ChunkCreated", None), ("PathUnbound", "/p")]
+    records = [(k, rng.randrange(4), -1, p and f"{p}{i}", None, i, i) for i in range(120) for k, p in [rng.choice(kinds)]]
+    whole = log(spark, *records).cache()
+    want = sorted(map(tuple, fold.file_state(whole).collect()))
+    for cut in (0, 1, 40, 90, 120):
+        assert sorted(map(tuple, fold.resume(*fold.snapshot_tail(whole, cut)).collect())) == want
+
+
+def test_snapshot_choice(spark):
+    m = frame(spark, "namespace string, generation long", [("a", 3), ("b", 3), ("c", 3), ("d", 3)])
+    s = frame(spark, "namespace string, generation long, cut long, readable boolean", [("a", 3, 50, True), ("b", 3, 50, False), ("b", 2, 20, True), ("c", 2, 20, True), ("d", 2, 20, False)])
+    g = frame(spark, "namespace string, first long, last long", [("b", 10, 30), ("b", 31, 60), ("c", 10, 30), ("c", 32, 60)])
+    assert {r.namespace: (r.source, r.cut) for r in fold.usable_snapshot(m, s, g).collect()} == {"a": ("CURRENT", 50), "b": ("PREVIOUS", 20), "c": ("REFUSED", None), "d": ("REFUSED", None)}
+
+
+def test_the_last_live_replica_stays(spark):
+    key = "namespace string, file_id long, idx long, node_id long"
+    rep = frame(spark, f"{key}, state string, length long, crc long", [("t", f, 0, n, "SEALED", 5, 7) for f in (1, 2) for n in (1, 2)])
+    nodes = frame(spark, "node_id long, state string, host string, endpoint string", [(1, "REGISTERED", "h", "e"), (2, "DEAD", "h", "e")])
+    bad = frame(spark, f"{key}, state string, length long, crc long", [("t", 1, 0, 1, "SEALED", 5, 8), ("t", 2, 0, 1, "SEALED", 5, 8)])
+    since = frame(spark, f"{key}, since_ms long", [("t", 1, 0, 1, 0), ("t", 2, 0, 1, 0)])
+    none = since.limit(0)
+    judge = lambda nodes: {(r.file_id, r.node_id): r.verdict for r in health.verdicts(rep, bad, nodes, 100, 50, since, none).collect()}
+    assert judge(nodes)[1, 1] == "keep-last-live" and judge(nodes)[1, 2] == "no-answer"
+    both = judge(nodes.withColumn("state", F.lit("REGISTERED")))
+    assert both[1, 1] == "drop-corrupt" and both[1, 2] == "keep-last-live"
+
+
+def test_backoff_never_exceeds_the_cap(spark):
+    got = spark.range(200).select(X.backoff(20, F.col("id") % 20, 5000, F.col("id")).alias("w")).agg(F.min("w"), F.max("w")).first()
+    assert 20 <= got[0] <= 22 and got[1] == 5000
+
+
+def test_two_right_rows_are_an_error(spark):
+    left = frame(spark, "i long, value long", [(1, 2)])
+    with pytest.raises(Exception, match="many-to-one"):
+        metrics.matched_product(left, frame(spark, "i long, value long", [(1, 2), (1, 3)]), ["i"]).collect()
+
+
 def test_tombstone_cutoff_is_inclusive(spark):
     f = frame(spark, "state string, deleted_ms long", [("DELETED", 5000), ("OPEN", 1)])
     assert gc.expired_tombstones(f, 5000).count() == 1 and gc.expired_tombstones(f, 4999).count() == 0
@@ -129,6 +194,10 @@ def test_snapshot_pointer_and_walk(spark, tmp_path):
         sources.write_snapshot(spark.range(cut), root, cut)
         state, at = sources.read_snapshot(spark, root)
         assert (state.count(), at) == (cut, cut)
+    assert sources.snapshot_version(spark, root) == 2
+    with pytest.raises(FileExistsError):
+        sources.write_snapshot(spark.range(5), root, 9, expected=1)
+    assert sources.read_snapshot(spark, root)[1] == 8
     good = tmp_path / "chunks" / "ns" / "2a" / "00"
     good.mkdir(parents=True)
     (good / "000000000000002a.3").write_bytes(b"abc")
