@@ -12,7 +12,8 @@ subsequence, and the words missing from and added to the template are reported.
 license, the saving on the stretch, and the differences.  Of overlapping
 stretches the one with the most matching words less foreign ones wins, then the
 shorter, then the template that saves more of the block, then the one listed
-first; all that do not overlap a better one are reported.  Null and empty texts
+first; all that do not overlap a better one are reported.  A stretch that lacks a
+number of the template is of another version and does not confirm it.  Null and empty texts
 and texts without a cue give none; repeated rows are scanned each; an empty
 table gives an empty table.  Only the named id and text columns are read.
 """
@@ -37,6 +38,8 @@ TEMPLATES = {
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "MIT": "Released under the MIT License.",
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -169,8 +172,10 @@ def licenses(text: str | None) -> list[tuple[int, int, str, float, int, str]]:
         used, rows = bytearray(len(block)), []
         for _, size, _, a, b, name in sorted(found):
             if not any(used[a:b]):
-                used[a:b] = b"\1" * size
                 n, missing, foreign = wording(templates[name], block[a:b])
+                if any(c.isdigit() for w in missing for c in w):  # another version is another license
+                    continue
+                used[a:b] = b"\1" * size
                 at, to = spans[a][0], spans[b - 1][1]
                 saved = next(x for x, k in savings(text[at:to]) if k == name)
                 rows.append((at, to, name, saved, n, " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in foreign])))

@@ -64,3 +64,19 @@ def test_wrapped_texts(name, mark, width):
 def test_copies_far_apart_and_close_together():
     wrapped = "\n".join(textwrap.wrap(licenses.TEMPLATES["MIT-text"], 60))
     assert [x[2] for x in licenses.licenses(wrapped + "\n\n" + wrapped + "\nword" * 2000 + "\n" + wrapped)] == ["MIT-text"] * 3
+
+
+def test_versions_decide():
+    for version, name in (("2", "GPL-2.0"), ("3", "GPL-3.0")):
+        got = licenses.licenses(f"This work is licensed under the GNU General Public License, version {version}.")
+        assert [x[2] for x in got] == [name] and got[0][5] == ""
+    assert licenses.licenses("This work is licensed under the GNU General Public License, version 9.") == []
+
+
+@pytest.mark.parametrize("mark", ["", "// ", " * ", "# "])
+@pytest.mark.parametrize("width", [60, 76, 100])
+def test_every_template_is_found_wrapped(mark, width):
+    for name, text in licenses.TEMPLATES.items():
+        lines = textwrap.wrap(text, width - len(mark))
+        got = licenses.licenses("Some prose above it here.\n" + "\n".join(mark + x for x in lines) + "\nand some below.")
+        assert name in [x[2] for x in got], (name, got)
