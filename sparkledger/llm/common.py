@@ -103,3 +103,14 @@ def only(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
 
     side = ids.select(key)
     return df.join(F.broadcast(side) if n_ids * 16 <= BROADCAST_BYTES else side.hint("merge"), key, "left_semi")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that clash with none of df's, whatever its case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in have:
+            name = "_" + name
+        out.append(name)
+    return out

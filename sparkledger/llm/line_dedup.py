@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, only, table
+from .common import BROADCAST_BYTES, Scratch, only, table, unused
 
 SHINGLE = 5
 #: Postings of a token beyond which it counts as frequent.
@@ -157,17 +157,17 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text that stays, and n_lines and n_removed_lines (in place of columns of these names)."""
-    gone = removed_lines(docs, doc_id, text).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone"))
+    doc, gone, u, n, kept = unused(docs, "_doc", "_gone", "_u", "_n", "_kept")
+    lines = removed_lines(docs, doc_id, text).select(F.col("doc").alias(doc), F.col("gone").alias(gone))
     all_lines = rf"size(filter(split(coalesce(`{text}`, ''), '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]'))"
-    at = docs.join(gone, F.col(doc_id).cast("bigint") == F.col("_doc"), "left").withColumns({"_u": F.expr(_LINES.format(f"`{text}`")), "_n": F.expr(all_lines)})
-    kept = "CASE WHEN size(_u) = 0 THEN CAST(array() AS ARRAY<INT>) ELSE array_except(sequence(0, size(_u) - 1), coalesce(_gone, array())) END"
-    at = at.withColumn("_kept", F.expr(kept))
+    at = docs.join(lines, F.col(doc_id).cast("bigint") == F.col(doc), "left").withColumns({u: F.expr(_LINES.format(f"`{text}`")), n: F.expr(all_lines)})
+    at = at.withColumn(kept, F.expr(f"CASE WHEN size({u}) = 0 THEN CAST(array() AS ARRAY<INT>) ELSE array_except(sequence(0, size({u}) - 1), coalesce({gone}, array())) END"))
     new = {
-        text: F.expr(f"CASE WHEN size(_kept) = _n THEN `{text}` ELSE array_join(transform(_kept, i -> _u[i]), '\\n') END"),
-        "n_lines": F.expr("CAST(_n AS BIGINT)"),
-        "n_removed_lines": F.expr("CAST(_n - size(_kept) AS BIGINT)"),
+        text: F.expr(f"CASE WHEN size({kept}) = {n} THEN `{text}` ELSE array_join(transform({kept}, i -> {u}[i]), '\\n') END"),
+        "n_lines": F.expr(f"CAST({n} AS BIGINT)"),
+        "n_removed_lines": F.expr(f"CAST({n} - size({kept}) AS BIGINT)"),
     }
-    return at.withColumns(new).drop("_doc", "_gone", "_u", "_n", "_kept")
+    return at.withColumns(new).drop(doc, gone, u, n, kept)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

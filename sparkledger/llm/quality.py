@@ -10,12 +10,13 @@ untouched, and counts of the same names as existing columns replace them.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 SPACE = r"[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -85,11 +86,14 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "_b": "length(bin(size(_words)))",
         "_m": "shiftleft(1L, length(bin(size(_words)))) - 1",
     }
-    df = docs.withColumn("_t", F.expr(f"coalesce(`{text}`, '')")).withColumns(
-        {"_words": F.expr(f"array_remove(split(_t, '{SPACE}'), '')"), "_lines": F.expr(r"filter(split(_t, '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]')")}
+    helpers = ("_t", "_words", "_lines", "_h", "_b", "_m")
+    own = dict(zip(helpers, unused(docs, *helpers), strict=True))
+    e = lambda sql: F.expr(re.sub(r"(?<![\w'])_(?:t|words|lines|h|b|m)\b", lambda m: own[m.group()], sql))
+    df = docs.withColumn(own["_t"], F.expr(f"coalesce(`{text}`, '')")).withColumns(
+        {own["_words"]: e(f"array_remove(split(_t, '{SPACE}'), '')"), own["_lines"]: e(r"filter(split(_t, '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]')")}
     )
-    df = df.withColumns({k: F.expr(v) for k, v in counts.items()}).drop("_t", "_lines")
-    return df.withColumn("n_repeat_words", F.expr(_REPEATS)).drop("_words", "_h", "_b", "_m")
+    df = df.withColumns({own.get(k, k): e(v) for k, v in counts.items()}).drop(own["_t"], own["_lines"])
+    return df.withColumn("n_repeat_words", e(_REPEATS)).drop(own["_words"], own["_h"], own["_b"], own["_m"])
 
 
 def rule_sql(r: Rule) -> str:
@@ -106,7 +110,8 @@ def judge(df: DataFrame, rules=RULES) -> DataFrame:
 def kept_rows(df: DataFrame, condition: str) -> DataFrame:
     """Rows that meet a condition on computed columns. The row number keeps Catalyst from moving the condition below the
     projections, where every use of an array would compute it anew, inside lambdas once for each element."""
-    return df.withColumn("_row", F.monotonically_increasing_id()).filter(f"({condition}) AND _row >= 0").drop("_row")
+    (row,) = unused(df, "_row")
+    return df.withColumn(row, F.monotonically_increasing_id()).filter(f"({condition}) AND {row} >= 0").drop(row)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
