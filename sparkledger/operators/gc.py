@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -51,7 +51,7 @@ def superseded_system_files(files: DataFrame, manifests: DataFrame, now: int, re
     return old.filter(F.col("next_born") + retention <= now).select("file_id", F.col("p_namespace").alias("namespace"), F.col("p_generation").alias("generation"))
 
 
-def expired_tombstones(files: DataFrame, cutoff: int) -> DataFrame:
+def expired_tombstones(files: DataFrame, cutoff: int | Column) -> DataFrame:
     """Tombstones to sweep; the cutoff itself has expired."""
     return files.filter((F.col("state") == "DELETED") & (F.col("deleted_ms") <= cutoff))
 
@@ -61,6 +61,6 @@ def protected_suspects(chunks: DataFrame, now: int, grace: int) -> DataFrame:
     return chunks.filter((F.col("state") == "SEALED") & (F.lit(now) >= F.col("protected_until_ms")) & (F.lit(now) - F.col("last_verified_ms") >= grace))
 
 
-def timed_out(issued: DataFrame, completed: DataFrame, now: int, timeout: int) -> DataFrame:
+def timed_out(issued: DataFrame, completed: DataFrame, now: int | Column, timeout: int) -> DataFrame:
     """Commands in flight to abandon: not completed, and issued too long ago."""
     return issued.join(completed.select("command_id"), "command_id", "left_anti").filter(F.lit(now) - F.col("issued_ms") > timeout)

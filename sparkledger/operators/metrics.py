@@ -16,12 +16,16 @@ def instant(samples: DataFrame, column: str = "value") -> DataFrame:
     return samples.groupBy(*SERIES).agg(F.max_by(column, "ts_ms").alias("value"))
 
 
+def _increase(samples: DataFrame, by: list[str]) -> DataFrame:
+    """Increase of each counter within each group; a fall is a reset and counts from zero."""
+    prev = F.lag("value").over(W.partitionBy(*by).orderBy("ts_ms"))
+    step = samples.withColumn("prev", prev).withColumn("step", F.when(F.col("prev").isNull(), 0).when(F.col("value") < F.col("prev"), F.col("value")).otherwise(F.col("value") - F.col("prev")))
+    return step.groupBy(*by).agg(F.sum("step").alias("increase"))
+
+
 def increases(samples: DataFrame, low: int, high: int) -> DataFrame:
-    """Increase of each counter over (low, high] without extrapolation; a fall is a reset and counts from zero."""
-    part = samples.filter((F.col("ts_ms") > low) & (F.col("ts_ms") <= high))
-    prev = F.lag("value").over(W.partitionBy(*SERIES).orderBy("ts_ms"))
-    step = part.withColumn("prev", prev).withColumn("step", F.when(F.col("prev").isNull(), 0).when(F.col("value") < F.col("prev"), F.col("value")).otherwise(F.col("value") - F.col("prev")))
-    return step.groupBy(*SERIES).agg(F.sum("step").alias("increase"))
+    """Increase of each counter over (low, high] without extrapolation."""
+    return _increase(samples.filter((F.col("ts_ms") > low) & (F.col("ts_ms") <= high)), SERIES)
 
 
 def rate_by(samples: DataFrame, low: int, high: int, labels: list[str]) -> DataFrame:
@@ -29,6 +33,18 @@ def rate_by(samples: DataFrame, low: int, high: int, labels: list[str]) -> DataF
     return increases(samples, low, high).groupBy(*labels).agg((F.sum("increase") * 1000.0 / (high - low)).alias("rate"))
 
 
+def increases_by_window(samples: DataFrame, window_ms: int) -> DataFrame:
+    """Increase of each counter over each window (slot * window_ms, (slot + 1) * window_ms] that has samples; the whole range is covered,
+    and a long series is sorted window by window."""
+    slot = F.floor((F.col("ts_ms") - 1) / window_ms).cast("bigint")
+    return _increase(samples.withColumn("slot", slot), [*SERIES, "slot"])
+
+
+def rate_by_window(samples: DataFrame, window_ms: int, labels: list[str]) -> DataFrame:
+    """sum by (labels) of the rates per second in each window."""
+    return increases_by_window(samples, window_ms).groupBy(*labels, "slot").agg((F.sum("increase") * 1000.0 / window_ms).alias("rate"))
+
+
 def buckets(observations: DataFrame, value: str, by: list[str], bounds=BOUNDS_MS) -> DataFrame:
     """Cumulative histogram: observations at or below each bound, and all of them under no bound."""
     counts = observations.groupBy(*by).agg(*[F.count_if(F.col(value) <= b).alias(f"le_{b}") for b in bounds], F.count("*").alias("le_inf"))

@@ -112,7 +112,7 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "inflight": (
         ("events",),
-        """SELECT event_id AS command_id, user_id % 8 AS executing_node FROM {events} WHERE event_id < 2500""",
+        """SELECT event_id * 2 AS command_id, user_id % 8 AS executing_node FROM {events}""",
     ),
     "responses": (
         ("events",),

@@ -155,9 +155,10 @@ def superseded_system_files(b):
     return G.superseded_system_files(b.system_files, b.manifests, 5000, 100)
 
 
-@query("expired_tombstones", "files", "SELECT namespace, file_id, deleted_ms FROM files WHERE state = 'DELETED' AND deleted_ms <= 200000")
+@query("expired_tombstones", "files", "SELECT namespace, file_id, deleted_ms FROM files WHERE state = 'DELETED' AND deleted_ms <= (SELECT max(deleted_ms) - 100000 FROM files)")
 def expired_tombstones(b):
-    return G.expired_tombstones(b.files, 200000).select("namespace", "file_id", "deleted_ms")
+    cutoff = b.files.agg(F.max("deleted_ms") - 100000).scalar()
+    return G.expired_tombstones(b.files, cutoff).select("namespace", "file_id", "deleted_ms")
 
 
 LOCAL = "SELECT namespace, file_id, idx, node_id, state, (partkey * 13 + node_id) % 1000 AS protected_until_ms, (partkey * 7 + node_id) % 1000 AS last_verified_ms FROM replicas"
@@ -169,7 +170,7 @@ def orphan_suspects(b):
     return G.protected_suspects(local, 600, 100).select(*CHUNK, "node_id")
 
 
-@query("timed_out_commands", "files", "SELECT file_id AS command_id, created_ms AS issued_ms FROM files WHERE file_id % 3 <> 0 AND 1000000 - created_ms > 500000")
+@query("timed_out_commands", "files", "SELECT file_id AS command_id, created_ms AS issued_ms FROM files WHERE file_id % 3 <> 0 AND (SELECT max(created_ms) FROM files) - created_ms > 50000")
 def timed_out_commands(b):
     issued = b.files.selectExpr("file_id AS command_id", "created_ms AS issued_ms")
-    return G.timed_out(issued, issued.filter("command_id % 3 = 0"), 1000000, 500000)
+    return G.timed_out(issued, issued.filter("command_id % 3 = 0"), issued.agg(F.max("issued_ms")).scalar(), 50000)

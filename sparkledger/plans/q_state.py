@@ -123,9 +123,9 @@ def lookup_files(b):
     return b.files.filter("state IN ('OPEN', 'SEALED')").join(per, ["namespace", "file_id"]).select("namespace", "file_id", "path", "n_chunks", layout.alias("layout"))
 
 
-@query("resolve_path", "files", "SELECT namespace, path, file_id FROM files WHERE state IN ('OPEN', 'SEALED') AND file_id % 10 = 0")
+@query("resolve_path", "files", "SELECT namespace, path, file_id FROM files WHERE state IN ('OPEN', 'SEALED')")
 def resolve_path(b):
-    wanted = b.files.filter("file_id % 10 = 0").select("namespace", "path")
+    wanted = b.files.select("namespace", "path")
     return wanted.join(b.files.filter("state IN ('OPEN', 'SEALED')").select("namespace", "path", "file_id"), ["namespace", "path"])
 
 
@@ -186,18 +186,19 @@ def instant_gauges(b):
     return M.instant(b.samples.filter(F.col("metric").rlike("^(?:c.*|view)$")), "gauge").groupBy("metric").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("high"), F.min("value").alias("low"))
 
 
-INC = """, w AS (SELECT * FROM samples WHERE ts_ms > 0 AND ts_ms <= 2000000), l AS (SELECT *, lag(value) OVER (PARTITION BY metric, instance, series ORDER BY ts_ms) AS prev FROM w),
-i AS (SELECT metric, instance, series, CAST(sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END) AS BIGINT) AS increase FROM l GROUP BY ALL)"""
+WINDOW_MS = 2000000
+INC = f""", w AS (SELECT *, CAST(floor((ts_ms - 1) / {WINDOW_MS}) AS BIGINT) AS slot FROM samples), l AS (SELECT *, lag(value) OVER (PARTITION BY metric, instance, series, slot ORDER BY ts_ms) AS prev FROM w),
+i AS (SELECT metric, instance, series, slot, CAST(sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END) AS BIGINT) AS increase FROM l GROUP BY ALL)"""
 
 
 @query("counter_increase", "samples", INC + " SELECT * FROM i")
 def counter_increase(b):
-    return M.increases(b.samples, 0, 2000000)
+    return M.increases_by_window(b.samples, WINDOW_MS)
 
 
-@query("rate_by_metric", "samples", INC + " SELECT metric, instance, round(sum(increase) * 1000.0 / 2000000, 6) AS rate FROM i GROUP BY ALL")
+@query("rate_by_metric", "samples", INC + f" SELECT metric, instance, slot, round(sum(increase) * 1000.0 / {WINDOW_MS}, 6) AS rate FROM i GROUP BY ALL")
 def rate_by_metric(b):
-    return M.rate_by(b.samples, 0, 2000000, ["metric", "instance"]).withColumn("rate", F.round("rate", 6))
+    return M.rate_by_window(b.samples, WINDOW_MS, ["metric", "instance"]).withColumn("rate", F.round("rate", 6))
 
 
 _LE = " UNION ALL ".join(f"SELECT metric, CAST({x} AS DOUBLE) AS le, count(*) FILTER (WHERE gauge <= {x}) AS cum FROM samples GROUP BY metric" for x in M.BOUNDS_MS) + " UNION ALL SELECT metric, CAST('Infinity' AS DOUBLE), count(*) FROM samples GROUP BY metric"

@@ -171,6 +171,9 @@ def test_chunk_rolls(spark):
 def test_counter_reset_and_quantile(spark):
     s = frame(spark, "metric string, instance long, series long, ts_ms long, value long", [("m", 1, 1, t, v) for t, v in enumerate([5, 9, 2, 3], 1)])
     assert metrics.increases(s, 0, 10).first().increase == 7
+    w = s.sparkSession.createDataFrame([("m", 0, 0, t, v) for t, v in ((0, 9), (1, 5), (10, 8), (11, 2), (20, 4), (41, 1))], "metric string, instance int, series int, ts_ms long, value long")
+    assert sorted((r.slot, r.increase) for r in metrics.increases_by_window(w, 10).collect()) == [(-1, 0), (0, 3), (1, 2), (4, 0)]
+    assert sorted((r.slot, r.rate) for r in metrics.rate_by_window(w, 10, ["metric"]).collect()) == [(-1, 0.0), (0, 300.0), (1, 200.0), (4, 0.0)]
     h = frame(spark, "k string, le double, cum long", [("a", 1.0, 0), ("a", 2.0, 10), ("a", float("inf"), 10), ("b", 1.0, 0), ("b", float("inf"), 4)])
     assert {r.k: r.quantile for r in metrics.histogram_quantile(h, 0.5, ["k"]).collect()} == {"a": 1.5, "b": 1.0}
 
