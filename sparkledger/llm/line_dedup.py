@@ -33,24 +33,28 @@ SHINGLE = 5
 FREQUENT = 64
 
 _LINES = r"array_distinct(filter(split(coalesce({0}, ''), '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]'))"
-_WORDS = r"array_remove(split(line, '[\\x20\\x09-\\x0D]+'), '')"
-_TOKENS = f"""sort_array(array_distinct(CASE WHEN size(ws) < {SHINGLE} THEN array(xxhash64(array_join(ws, ' ')))
-    ELSE transform(sequence(0, size(ws) - {SHINGLE}), i -> xxhash64({", ".join(f"ws[i + {k}]" for k in range(SHINGLE))})) END))"""
+#: Words are hashed once, each on its own; a split at one plain character needs no pattern.
+_HASHES = r"""transform(array_remove(split(CASE WHEN line RLIKE '[\\x09-\\x0D]' THEN translate(line, '\t\u000B\u000C\r', '    ') ELSE line END, ' '), ''), w -> xxhash64(w))"""
+_TOKENS = f"""sort_array(array_distinct(CASE WHEN size(hs) < {SHINGLE} THEN array(xxhash64(hs))
+    ELSE transform(slice(hs, 1, size(hs) - {SHINGLE - 1}), (h, i) -> xxhash64(h, {", ".join(f"hs[i + {k}]" for k in range(1, SHINGLE))})) END))"""
 #: Tokens of a set of n that one of every similar set must share: n - ceil(0.75 n) + 1.
 _PREFIX = "size(tokens) - (3 * size(tokens) + 3) DIV 4 + 1"
 _FILTERS = "4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y) AND 7 * (1 + least(n_x - p_x - 1, n_y - p_y - 1)) >= 3 * (n_x + n_y)"
 
 
-def _tokens(texts: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc, k, tokens) of the lines (doc, ks): the k-th distinct lines of (doc, text)."""
-    at = texts.join(lines, "doc").withColumn("u", F.expr(_LINES.format("text"))).select("doc", "u", F.explode("ks").alias("k"))
-    words = at.filter("k < size(u)").select("doc", "k", F.expr("u[k]").alias("line")).select("doc", "k", F.expr(_WORDS).alias("ws"))
-    return words.select("doc", "k", F.expr(_TOKENS).alias("tokens"))
+def _tokens(lines: DataFrame, *names: str) -> DataFrame:
+    """The columns named and ``tokens`` of lines (..., line)."""
+    return lines.select(*names, F.expr(_HASHES).alias("hs")).select(*names, F.expr(_TOKENS).alias("tokens"))
 
 
-def _postings(tokens: DataFrame) -> DataFrame:
-    """(token, doc, k, n, p) of tokens in their order."""
-    return tokens.select("doc", "k", F.expr("size(tokens)").alias("n"), F.posexplode(F.expr(f"slice(tokens, 1, {_PREFIX})")).alias("p", "token"))
+def _prefixes(tokens: DataFrame, *names: str) -> DataFrame:
+    """The columns named, the number of tokens and those to post, in their order."""
+    return tokens.select(*names, F.expr("size(tokens)").alias("n"), F.expr(f"slice(tokens, 1, {_PREFIX})").alias("prefix"))
+
+
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """(token, doc, k, n, p) of lines (doc, k, n, prefix)."""
+    return prefixes.select("doc", "k", "n", F.posexplode("prefix").alias("p", "token")).select("token", "doc", "k", "n", "p")
 
 
 def _without(postings: DataFrame, lines: DataFrame, n: int) -> DataFrame:
@@ -58,6 +62,12 @@ def _without(postings: DataFrame, lines: DataFrame, n: int) -> DataFrame:
     return postings.join(F.broadcast(lines) if n * 24 <= BROADCAST_BYTES else lines.hint("merge"), ["doc", "k"], "left_anti")
 
 
+def _side(lists: DataFrame, name: str) -> DataFrame:
+    """A written table (doc, list of k) to join with: by a broadcast if it is small by count, by a shuffle beyond that."""
+    docs, n = lists.agg(F.count("*"), F.coalesce(F.sum(F.size(name)), F.lit(0))).first()
+    return F.broadcast(lists) if docs * 40 + n * 8 <= BROADCAST_BYTES else lists.hint("merge")
+
+
 def _by_rarity(postings: DataFrame, counts: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
     """(doc, k) of the lines whose prefix holds a frequent token, and their postings with frequent tokens last; none if there are none."""
     frequent = scratch.save(counts.filter(f"c > {FREQUENT}").select("token"), "frequent")
@@ -76,7 +86,7 @@ def _by_rarity(postings: DataFrame, counts: DataFrame, texts: DataFrame, scratch
     ranked = some.union(rest).select("doc", "k", F.explode("tokens").alias("token")).join(ranks, "token", "left").select("doc", "k", F.struct(F.coalesce("f", F.lit(0)).alias("f"), "token").alias("t"))
     # A line's tokens come together again; they are no more than its own words.
     again = ranked.groupBy("doc", "k").agg(F.expr("transform(sort_array(collect_list(t)), t -> t.token)").alias("tokens"))
-    again = scratch.save(_postings(again).select(*postings.columns), "again")
+    again = scratch.save(_postings(_prefixes(again, "doc", "k")), "again")
     scratch.drop(some, rest)
     moved = scratch.save(crowded.union(more), "moved")
     scratch.drop(frequent, ranks, hidden, crowded, more)
@@ -84,12 +94,15 @@ def _by_rarity(postings: DataFrame, counts: DataFrame, texts: DataFrame, scratch
 
 
 def _lines_of(texts: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc, k, tokens) of lines (doc, k), a written table."""
+    """(doc, k, tokens) of lines (doc, k), a written table: the k-th distinct lines of (doc, text)."""
     by_doc = lines.groupBy("doc").agg(F.collect_list("k").alias("ks"))
     if lines.count() * 24 <= BROADCAST_BYTES:
-        return _tokens(texts, F.broadcast(by_doc))
-    ids = lines.select("doc").distinct()
-    return _tokens(only(texts, ids, "doc", ids.count()), by_doc)
+        by_doc = F.broadcast(by_doc)
+    else:
+        ids = lines.select("doc").distinct()
+        texts = only(texts, ids, "doc", ids.count())
+    at = texts.join(by_doc, "doc").withColumn("u", F.expr(_LINES.format("text"))).select("doc", "u", F.explode("ks").alias("k"))
+    return _tokens(at.filter("k < size(u)").select("doc", "k", F.expr("u[k]").alias("line")), "doc", "k")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -115,15 +128,21 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(doc, gone): the indexes, among the distinct lines of a document, of those that go."""
     scratch = Scratch(docs.sparkSession, "lines")
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("doc IS NOT NULL")
-    # Every table goes as soon as its last reader is written; the full postings are shuffled twice, for the counts and for
-    # the tokens that lines share, and only what they share is worked on after that.
-    keys = scratch.save(texts.select("doc", F.posexplode(F.expr(_LINES.format("text"))).alias("k", "line")).select("doc", "k", F.expr("unhex(md5(line))").alias("key")), "keys")
+    # Every table goes as soon as its last reader is written. The texts are read once for the lines' digests and prefixes and are
+    # not moved for that; prefixes stay packed by line. The full postings are shuffled twice, for the counts and for the
+    # tokens that lines share, and only what they share is worked on after that.
+    lines = texts.select("doc", F.posexplode(F.expr(_LINES.format("text"))).alias("k", "line")).withColumn("key", F.expr("unhex(md5(line))"))
+    lines = scratch.save(_prefixes(_tokens(lines, "doc", "k", "key"), "doc", "k", "key"), "lines")
+    keys = lines.select("doc", "k", "key")
     firsts = scratch.save(keys.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("c")).filter("c > 1").select("key", "first"), "firsts")
-    first = F.col("first").isNull() | (F.col("doc") == F.col("first"))
-    marked = keys.join(firsts, "key", "left").groupBy("doc").agg(F.collect_set(F.when(first, F.col("k"))).alias("ks"), F.collect_set(F.when(~first, F.col("k"))).alias("copies"))
-    marked = scratch.save(marked, "marked")
-    scratch.drop(keys, firsts)
-    postings = scratch.save(_postings(_tokens(texts, marked.filter("size(ks) > 0").select("doc", "ks"))).select("token", "doc", "k", "n", "p"), "postings")
+    copies = scratch.save(keys.join(firsts, "key").filter("doc <> first").select("doc", "k"), "copies")
+    # Where rows repeat a doc_id, one's copy may stand at the place of another's first line: these stay, to be found again.
+    repeated = texts.groupBy("doc").agg(F.count("*").alias("c")).filter("c > 1").select("doc")
+    lists = scratch.save(copies.join(repeated, "doc", "left_anti").groupBy("doc").agg(F.collect_set("k").alias("copied")), "copied")
+    own = lines.join(_side(lists, "copied"), "doc", "left").filter("copied IS NULL OR NOT array_contains(copied, k)")
+    own = scratch.save(own.select("doc", "k", "n", "prefix"), "own")
+    scratch.drop(lines, firsts, lists)
+    postings = _postings(own)
     # Map-side sums come first: a token that a third of all lines post is one row of each task.
     counts = scratch.save(postings.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
     moved, again = _by_rarity(postings, counts, texts, scratch)
@@ -131,7 +150,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     if again is not None:
         wanted = scratch.save(wanted.union(again.select("token")).distinct(), "wanted")
     stay = scratch.save(postings.join(wanted, "token"), "stay")
-    scratch.drop(postings, counts, wanted)
+    scratch.drop(own, counts, wanted)
     shared = stay
     if again is not None:
         shared = scratch.save(_without(stay, moved, moved.count()).unionByName(again), "shared")
@@ -148,9 +167,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     gone, known = _round(star, None, texts, scratch)
     rest = y.join(gone, ["doc", "k"], "left_anti").join(x, "token").filter(f"{later} AND {_FILTERS}").select("x_doc", "x_k", "doc", "k").distinct()
     more, _ = _round(rest.join(star, ["x_doc", "x_k", "doc", "k"], "left_anti"), known, texts, scratch)
-    similar = gone.union(more).groupBy("doc").agg(F.collect_set("k").alias("similar"))
-    out = marked.join(similar, "doc", "left").select("doc", F.expr("array_union(copies, coalesce(similar, array()))").alias("gone")).filter("size(gone) > 0")
-    out = scratch.save(out, "gone")
+    out = scratch.save(copies.select("doc", "k").union(gone).union(more).groupBy("doc").agg(F.collect_set("k").alias("gone")), "gone")
     scratch.close(out)
     return out
 
@@ -158,7 +175,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text that stays, and n_lines and n_removed_lines (in place of columns of these names)."""
     doc, gone, u, n, kept = unused(docs, "_doc", "_gone", "_u", "_n", "_kept")
-    lines = removed_lines(docs, doc_id, text).select(F.col("doc").alias(doc), F.col("gone").alias(gone))
+    lines = _side(removed_lines(docs, doc_id, text), "gone").select(F.col("doc").alias(doc), F.col("gone").alias(gone))
     all_lines = rf"size(filter(split(coalesce(`{text}`, ''), '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]'))"
     at = docs.join(lines, F.col(doc_id).cast("bigint") == F.col(doc), "left").withColumns({u: F.expr(_LINES.format(f"`{text}`")), n: F.expr(all_lines)})
     at = at.withColumn(kept, F.expr(f"CASE WHEN size({u}) = 0 THEN CAST(array() AS ARRAY<INT>) ELSE array_except(sequence(0, size({u}) - 1), coalesce({gone}, array())) END"))
