@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import ship
+
 
 def score(namespace: Column, generation: int, endpoint: Column) -> Column:
     """First eight bytes of SHA-256 over namespace, 0, generation (big-endian 32 bits), 0, endpoint, as a signed number."""
@@ -39,15 +43,63 @@ def without(nodes: DataFrame, excluded: DataFrame, hosts: DataFrame) -> DataFram
 def place(requests: DataFrame, nodes: DataFrame, count: int, seed: int) -> DataFrame:
     """Weighted choice without replacement of ``count`` nodes on distinct hosts for each request.
 
-    An exponential race: the node with the smallest -ln(u) / free wins, then the next on another host; u comes from a seeded
-    hash, so the choice is repeatable. A request with too few hosts gets none.
+    One node after the other is drawn by its free bytes among those on hosts that are not taken yet; the draws come from a
+    seeded hash, so the choice is repeatable. A request with too few hosts gets none. Nodes are a cluster's membership and go
+    to every worker, ordered by host: a taken host is then one interval of the running weights, which a draw steps over, so
+    that a request costs ``count`` binary searches whatever the number of nodes.
     """
-    u = (F.pmod(F.xxhash64("request", "node_id", F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-    race = requests.select("request").crossJoin(nodes.select("node_id", "host", "free_bytes")).withColumn("key", -F.log(u) / F.greatest(F.lit(1), F.col("free_bytes")))
-    per_host = race.groupBy("request", "host").agg(F.min(F.struct("key", "node_id")).alias("best"))
-    w = W.partitionBy("request")
-    ranked = per_host.withColumns({"rank": F.row_number().over(w.orderBy("best.key", "best.node_id")), "hosts": F.count("*").over(w)})
-    return ranked.filter((F.col("rank") <= count) & (F.col("hosts") >= count)).select("request", F.col("best.node_id").alias("node_id"), "host", F.col("rank").cast("bigint").alias("rank"))
+    spark = requests.sparkSession
+    ship(spark)
+    members = nodes.select("node_id", "host", F.greatest(F.lit(1).cast("bigint"), F.col("free_bytes")).alias("weight")).orderBy("host", "node_id", "weight").toArrow()
+    ring = spark.sparkContext.broadcast(Ring(members))
+    draws = [F.shiftrightunsigned(F.xxhash64("request", F.lit(k), F.lit(seed)), 1).alias(f"draw_{k}") for k in range(count)]
+    types = dict(nodes.select("node_id", "host").dtypes)
+    schema = f"request {dict(requests.dtypes)['request']}, node_id {types['node_id']}, host {types['host']}, rank bigint"
+    return requests.select("request").distinct().select("request", *draws).mapInArrow(lambda batches: (ring.value.placed(x) for x in batches), schema)
+
+
+class Ring:
+    """Nodes (node_id, host, weight), ordered by host, as intervals of whole numbers."""
+
+    def __init__(self, members: pa.Table):
+        self.node_ids, self.hosts = (members[c].combine_chunks() for c in ("node_id", "host"))
+        weights, names = members["weight"].to_pylist(), self.hosts.to_pylist()
+        self.total = sum(weights)
+        # Floats draw evenly below 2**53 only, and sums could leave 64 bits; beyond that Python's own integers do both.
+        self.exact = self.total < 1 << 53
+        ends = np.cumsum(np.array(weights, dtype=np.int64 if self.exact else object))
+        first = np.array([i for i in range(len(names)) if not i or names[i] != names[i - 1]], dtype=np.int64)
+        self.ends, self.n_hosts = ends, len(first)
+        self.host_of = np.repeat(np.arange(len(first)), np.diff([*first.tolist(), len(names)]))
+        self.host_start = (ends - np.array(weights, dtype=ends.dtype))[first]
+        self.host_size = np.diff(np.append(self.host_start, ends[-1:]))
+
+    def choose(self, draws: list[np.ndarray]) -> np.ndarray:
+        """Positions of the nodes that draws of 63 bits choose, a column for each."""
+        n = len(draws[0])
+        taken = np.zeros((n, 0), dtype=np.int64)
+        out = []
+        for draw in draws:
+            left = self.total - self.host_size[taken].sum(axis=1)
+            if self.exact:
+                at = np.minimum(((draw >> 10) * 2.0**-53 * left).astype(np.int64), left - 1)
+            else:
+                at = draw.astype(object) * left // (1 << 63)
+            for host in taken.T:
+                at = at + np.where(at >= self.host_start[host], self.host_size[host], 0)
+            node = np.searchsorted(self.ends, at, side="right")
+            out.append(node)
+            # By place, so that steps over several hosts are taken from left to right.
+            taken = np.sort(np.column_stack([taken, self.host_of[node]]), axis=1)
+        return np.column_stack(out)
+
+    def placed(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        count = batch.num_columns - 1
+        some = 0 < count <= self.n_hosts and batch.num_rows > 0
+        nodes = self.choose([batch.column(k + 1).to_numpy() for k in range(count)]).ravel() if some else np.zeros(0, dtype=np.int64)
+        rows = np.repeat(np.arange(batch.num_rows), count) if some else nodes
+        ranks = np.tile(np.arange(1, count + 1), batch.num_rows) if some else nodes
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), self.node_ids.take(pa.array(nodes)), self.hosts.take(pa.array(nodes)), pa.array(ranks)], names=["request", "node_id", "host", "rank"])
 
 
 def first_per_key(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
