@@ -115,13 +115,10 @@ def usable_snapshot(manifests: DataFrame, snapshots: DataFrame, segments: DataFr
 
 def bindings(log: DataFrame) -> DataFrame:
     """Paths bound to files: the last creation at a path, unless the same file was unbound from it later."""
-    at = log.filter("kind IN ('FileCreated', 'PathUnbound')")
-    last = at.groupBy("namespace", "path").agg(
-        F.max_by("file_id", F.when(F.col("kind") == "FileCreated", F.col("log_offset"))).alias("file_id"),
-        F.max(F.when(F.col("kind") == "FileCreated", F.col("log_offset"))).alias("bound_at"),
-    )
-    off = at.filter("kind = 'PathUnbound'").groupBy("namespace", "path", "file_id").agg(F.max("log_offset").alias("unbound_at"))
-    return last.join(off, ["namespace", "path", "file_id"], "left").filter("unbound_at IS NULL OR unbound_at < bound_at").select("namespace", "path", "file_id")
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("log_offset")))
+    per = log.filter("kind IN ('FileCreated', 'PathUnbound')").groupBy("namespace", "path", "file_id").agg(at("FileCreated").alias("bound_at"), at("PathUnbound").alias("unbound_at"))
+    last = per.groupBy("namespace", "path").agg(F.max_by("file_id", "bound_at").alias("file_id"), F.max_by("unbound_at", "bound_at").alias("unbound_at"), F.max("bound_at").alias("bound_at"))
+    return last.filter("bound_at IS NOT NULL AND (file_id IS NULL OR unbound_at IS NULL OR unbound_at < bound_at)").select("namespace", "path", "file_id")
 
 
 def high_water(log: DataFrame) -> DataFrame:

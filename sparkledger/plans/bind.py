@@ -1,14 +1,16 @@
 """Binding of the star-schema tables to the domain tables of the log engine.
 
 Each binding is one portable SELECT, so that Spark and the SQL oracle see the same domain rows; operators never share
-code with their oracle.
+code with their oracle.  Where the SELECT would bring a namespace into one task or shuffle a file's rows again and again,
+Spark has its own plan for the same rows, in ``spread``.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 
+from .spread import PLANS
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 #: name -> (tables it reads, SELECT)
@@ -167,13 +169,19 @@ class Bound:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._made:
-            if name in BINDINGS:
-                needs, text = BINDINGS[name]
-                self._made[name] = self.spark.sql(text, **{n: getattr(self, n) for n in needs})
+            if name in PLANS:
+                self._made[name] = PLANS[name](self)
+            elif name in BINDINGS:
+                self._made[name] = self.selected(name)
             else:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._made[name]
 
+    def selected(self, name: str) -> DataFrame:
+        """A binding by its SELECT; of a union that is read in part, Spark then plans only the branches that are needed."""
+        needs, text = BINDINGS[name]
+        return self.spark.sql(text, **{n: getattr(self, n) for n in needs})
+
 
 def with_bindings(*names: str) -> str:
     """A WITH clause that defines domain tables for the SQL oracle, ready for more."""

@@ -48,12 +48,12 @@ def path_bindings(b):
 
 @query("id_high_water", "meta_log", "SELECT namespace, max(file_id) + 1 AS next_file_id FROM meta_log WHERE kind = 'FileCreated' GROUP BY namespace")
 def id_high_water(b):
-    return S.high_water(b.meta_log)
+    return S.high_water(b.selected("meta_log"))
 
 
 @query("assign_ids", "meta_log files", ", h AS (SELECT namespace, max(file_id) + 1 AS n FROM meta_log WHERE kind = 'FileCreated' GROUP BY namespace) SELECT f.namespace, f.path, CAST(n + row_number() OVER (PARTITION BY f.namespace ORDER BY f.path) - 1 AS BIGINT) AS new_id FROM files f JOIN h ON h.namespace = f.namespace WHERE f.state = 'OPEN'")
 def assign_ids(b):
-    return S.assign_ids(b.files.filter("state = 'OPEN'").select("namespace", "path"), S.high_water(b.meta_log), "path").select("namespace", "path", "new_id")
+    return S.assign_ids(b.files.filter("state = 'OPEN'").select("namespace", "path"), S.high_water(b.selected("meta_log")), "path").select("namespace", "path", "new_id")
 
 
 @query("snapshot_at_cut", "meta_log", LIFE.replace("FROM meta_log)", "FROM meta_log WHERE log_offset < 2000)", 1) + " SELECT namespace, state, count(*) AS n FROM f GROUP BY ALL")
