@@ -152,10 +152,9 @@ def diff_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     gone = F.when(both, F.array_except("o_replicas", "n_replicas")).otherwise(F.array().cast("array<bigint>"))
     more = F.when(both, F.array_except("n_replicas", "o_replicas")).otherwise(F.array().cast("array<bigint>"))
     at = at.select(*key, kinds.alias("kinds"), F.coalesce(gone, F.array().cast("array<bigint>")).alias("dropped"), F.coalesce(more, F.array().cast("array<bigint>")).alias("added"))
-    whole = at.select(*key, F.explode("kinds").alias("kind"), F.lit(None).cast("bigint").alias("node_id"))
-    drop = at.select(*key, F.lit("ReplicaDropped").alias("kind"), F.explode("dropped").alias("node_id"))
-    add = at.select(*key, F.lit("ReplicaAdded").alias("kind"), F.explode("added").alias("node_id"))
-    return whole.union(drop).union(add)
+    one = "named_struct('kind', {0}, 'node_id', {1})"
+    records = f"concat(transform(kinds, k -> {one.format('k', 'CAST(NULL AS BIGINT)')}), transform(dropped, n -> {one.format(repr('ReplicaDropped'), 'n')}), transform(added, n -> {one.format(repr('ReplicaAdded'), 'n')}))"
+    return at.select(*key, F.explode(F.expr(records)).alias("r")).select(*key, "r.kind", "r.node_id")
 
 
 def seal_file_check(chunks: DataFrame, totals: DataFrame) -> DataFrame:

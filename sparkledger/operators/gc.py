@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .health import small
+
 
 def orphan_verdicts(suspects: DataFrame, descriptors: DataFrame, reachable: DataFrame) -> DataFrame:
     """ORPHAN where the owner answers and does not list the replica, KEEP where it does, UNREACHABLE without an answer."""
     listed = descriptors.select("namespace", "file_id", "idx", "node_id").distinct().withColumn("listed", F.lit(True))
-    at = suspects.join(listed, ["namespace", "file_id", "idx", "node_id"], "left").join(reachable.select("namespace").distinct().withColumn("answers", F.lit(True)), "namespace", "left")
+    at = suspects.join(listed, ["namespace", "file_id", "idx", "node_id"], "left").join(small(reachable.select("namespace").distinct()).withColumn("answers", F.lit(True)), "namespace", "left")
     return at.withColumn("verdict", F.when(F.col("answers").isNull(), "UNREACHABLE").when(F.col("listed"), "KEEP").otherwise("ORPHAN")).drop("listed", "answers")
 
 

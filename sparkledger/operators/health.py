@@ -9,10 +9,16 @@ from pyspark.sql import Window as W
 from .votes import CHUNK
 
 
+def small(side: DataFrame, most: int = 500_000) -> DataFrame:
+    """A side that is broadcast if it was counted to have no more rows than this, as a cluster's nodes or namespaces have: the rows it
+    is joined to then stay where they are."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
 def with_nodes(replicas: DataFrame, nodes: DataFrame) -> DataFrame:
     """Replicas with what is known of their node; an unknown node is dead."""
     side = nodes.select("node_id", "host", "endpoint", F.col("state").alias("node_state"))
-    return replicas.join(side, "node_id", "left").withColumn("node_state", F.coalesce("node_state", F.lit("DEAD")))
+    return replicas.join(small(side), "node_id", "left").withColumn("node_state", F.coalesce("node_state", F.lit("DEAD")))
 
 
 def liveness(nodes: DataFrame, now: int, grace: int) -> DataFrame:

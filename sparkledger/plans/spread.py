@@ -48,6 +48,9 @@ N_OF_CHUNKS = "2 * n_lines - CASE WHEN state = 'OPEN' AND n_lines > 0 AND (n_lin
 
 
 def partitions(b) -> int:
+    """Partitions for a file's rows. Joins on more keys than the file are to find them there as well, which Spark does not look for by
+    itself; the setting is read when the plan is made, so it stays."""
+    b.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     size = int(b.lineitem._jdf.queryExecution().analyzed().stats().sizeInBytes())
     return max(b.spark.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES))
 
@@ -69,14 +72,37 @@ def chunks(b) -> DataFrame:
     return lines(b).join(files, "file_id").select(*_chunk(F.expr(f"CASE WHEN {_SEALED} THEN 'SEALED' ELSE 'OPEN' END")))
 
 
-def replicas(b) -> DataFrame:
-    """A chunk is one line, so the copies that DISTINCT takes out are in its own row, or come of a file that is there repeatedly."""
+def _placed(b) -> DataFrame:
+    """Chunks with the list of their nodes. A chunk is one line, so the copies that DISTINCT takes out of replicas are in its own
+    row, or come of a file that is there repeatedly: its chunks are here once, with all their states."""
     nodes = b.supplier.agg(F.count("*").alias("n"), F.min("s_suppkey").alias("m"))
     once = b.files.select("namespace", "file_id", (F.col("state") == "OPEN").alias("open")).repartition(partitions(b), "file_id").groupBy("namespace", "file_id").agg(F.max("open").alias("open"), F.min("open").alias("all_open"))
-    states = F.explode(F.expr("array_compact(array(CASE WHEN is_tail AND open THEN 'OPEN' END, CASE WHEN NOT (is_tail AND all_open) THEN 'SEALED' END))"))
-    at = lines(b).join(once, "file_id").select(*_chunk(states)).crossJoin(F.broadcast(nodes))
-    node = F.explode(F.expr("array_distinct(array(suppkey % n + m, (suppkey + 7) % n + m, (suppkey + 14) % n + m))"))
-    return at.select("namespace", "file_id", "idx", "state", "length", "crc", "write_epoch", "partkey", node.alias("node_id"))
+    states = F.expr("array_compact(array(CASE WHEN is_tail AND open THEN 'OPEN' END, CASE WHEN NOT (is_tail AND all_open) THEN 'SEALED' END))")
+    at = lines(b).join(once, "file_id").select(*_chunk(states)).withColumnRenamed("state", "states").crossJoin(F.broadcast(nodes))
+    return at.withColumn("nodes", F.expr("array_distinct(array(suppkey % n + m, (suppkey + 7) % n + m, (suppkey + 14) % n + m))"))
+
+
+def replicas(b) -> DataFrame:
+    at = _placed(b).withColumn("state", F.explode("states"))
+    return at.select("namespace", "file_id", "idx", "state", "length", "crc", "write_epoch", "partkey", F.explode("nodes").alias("node_id"))
+
+
+_EDIT = "named_struct('log_offset', {0}, 'kind', '{1}', 'node_id', CAST({2} AS BIGINT), 'to_node', CAST({3} AS BIGINT))"
+
+
+def replica_log(b) -> DataFrame:
+    """All records of a chunk from its own row: the SELECT reads the replicas six times."""
+    made = f"flatten(transform(states, s -> transform(nodes, x -> {_EDIT.format(1, 'ChunkCreated', 'x', 'NULL')})))"
+    sealed = f"transform(voted, x -> {_EDIT.format(2, 'ChunkSealed', 'x', 'NULL')})"
+    single = [
+        f"CASE WHEN last_voted IS NOT NULL AND partkey % 3 = 0 THEN {_EDIT.format(3, 'ReplicaSwapped', 'last_voted', '100000 + last_voted')} END",
+        f"CASE WHEN last_voted IS NOT NULL AND partkey % 6 = 0 THEN {_EDIT.format(4, 'ReplicaDropped', '100000 + last_voted', 'NULL')} END",
+        f"CASE WHEN partkey % 5 = 0 THEN {_EDIT.format(5, 'ReplicaAdded', '200000 + partkey % 7', 'NULL')} END",
+        f"CASE WHEN partkey % 23 = 0 THEN {_EDIT.format(6, 'ChunkDeleted', 'NULL', 'NULL')} END",
+    ]
+    at = _placed(b).withColumn("voted", F.expr("filter(nodes, x -> array_contains(states, 'SEALED') AND (partkey + x) % 4 <> 0)")).withColumn("last_voted", F.array_max("voted"))
+    records = F.explode(F.expr(f"concat({made}, {sealed}, array_compact(array({', '.join(single)})))")).alias("r")
+    return at.select("namespace", "file_id", "idx", records).select("namespace", "file_id", "idx", "r.*")
 
 
 def _range(of: Column, bounds: list[int], first: int = 0) -> Column:
@@ -116,4 +142,4 @@ def meta_log(b) -> DataFrame:
     return at.select("namespace", (F.col("base") + place - 1).alias("log_offset"), "kind", "file_id", "idx", "path", "length", "write_epoch", "at_ms")
 
 
-PLANS = {"chunks": chunks, "replicas": replicas, "meta_log": meta_log}
+PLANS = {"chunks": chunks, "replicas": replicas, "replica_log": replica_log, "meta_log": meta_log}

@@ -40,3 +40,18 @@ def test_no_task_has_a_whole_namespace(spark, name):
 
     plan = getattr(Bound(spark, "/root/testdata/sf0.001"), name)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(namespace#\d+, \d+\)", plan) and "SinglePartition" not in re.sub(r"Exchange SinglePartition[^\n]*\n[^\n]*partial_(count|min)", "", plan)
+
+
+@pytest.mark.parametrize("name", "replica_verdicts fold_replicas descriptor_diff readable_replicas seal_replica delete_replica confirm_deletes open_replica evict_short delete_counters orphan_budgets".split())
+def test_replicas_stay_with_their_file(spark, name):
+    """Rows of replicas are shuffled by file_id, before they are replicas, and not again by chunk, replica, node or namespace."""
+    import re
+
+    from sparkledger.catalog import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    keys = {re.sub(r"#\d+L?", "", x) for x in re.findall(r"hashpartitioning\((.*), \d+\)", plan)}
+    allowed = {"l_orderkey", "file_id", "o_orderkey"} | ({"node_id, namespace", "node_id", "namespace"} if name == "orphan_budgets" else {"code"} if name == "delete_counters" else set())
+    assert keys <= allowed, keys
+    # The distinct namespaces of the files only, not the rows they are joined to.
+    assert len(re.findall(r"hashpartitioning\(namespace#\d+, \d+\)", plan)) == (name == "orphan_budgets")
