@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ from ..session import ship
 
 DECISIONS = "namespace string, file_id bigint, event_id bigint, accepted boolean, reason string, end_offset bigint"
 
+#: State of a bucket: its files, with the end and the fence of each.
+HELD = "namespaces array<string>, file_ids array<string>, ends array<bigint>, fences array<bigint>"
+#: Files share so many calls of the state machine, as a call for each file costs more than its rows; a checkpoint depends on it.
+BUCKETS = 256
+
 
 def _folder(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -34,19 +40,22 @@ def appends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Per file: fencing comes first, an accepted append moves the end; rows of a trigger are taken in order, so the requests,
-    which carry lengths and no base, are contiguous by themselves."""
-    end, fence = state.get if state.exists else (0, 0)
-    rows = pd.concat(list(batches)).sort_values("event_id")
-    out = []
-    for r in rows.itertuples(index=False):
-        ok = r.epoch >= fence
-        if ok:
-            end += int(r.length)
-        out.append((key[0], key[1], r.event_id, ok, "OK" if ok else "FENCED_EPOCH", end))
-        if r.fence:
-            fence = max(fence, int(r.epoch) + 1)
-    state.update((end, fence))
-    yield pd.DataFrame(out, columns=["namespace", "file_id", "event_id", "accepted", "reason", "end_offset"])
+    which carry lengths and no base, are contiguous by themselves. The files of a bucket are decided at once."""
+    held = {(n, f): (end, fence) for n, f, end, fence in zip(*state.get, strict=True)} if state.exists else {}
+    rows = pd.concat(list(batches), ignore_index=True).sort_values("event_id", kind="stable", ignore_index=True)
+    file = rows.groupby(["namespace", "file_id"], dropna=False, sort=False).ngroup()
+    names = rows[["namespace", "file_id"]][~file.duplicated()].astype(object)
+    names = [tuple(None if pd.isna(x) else x for x in r) for r in names.itertuples(index=False)]
+    ends, fences = (np.array([held.get(n, (0, 0))[k] for n in names], dtype="int64") for k in (0, 1))
+    raised = (rows["epoch"] + 1).where(rows["fence"], 0).groupby(file).cummax()
+    before = np.maximum(raised.groupby(file).shift(1, fill_value=0), fences[file])
+    ok = rows["epoch"] >= before
+    end = rows["length"].where(ok, 0).fillna(0).astype("int64").groupby(file).cumsum() + ends[file]
+    last = ~file.duplicated(keep="last")
+    ends[file[last]], fences[file[last]] = end[last], np.maximum(raised, fences[file])[last]
+    held |= {n: (int(e), int(f)) for n, e, f in zip(names, ends, fences, strict=True)}
+    state.update(([n for n, _ in held], [f for _, f in held], [e for e, _ in held.values()], [f for _, f in held.values()]))
+    yield pd.DataFrame({"namespace": rows["namespace"], "file_id": rows["file_id"], "event_id": rows["event_id"], "accepted": ok, "reason": np.where(ok, "OK", "FENCED_EPOCH"), "end_offset": end})
 
 
 def finish(stream: DataFrame, mode: str) -> DataFrame:
@@ -66,8 +75,10 @@ def finish(stream: DataFrame, mode: str) -> DataFrame:
 
 def append_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    rows = appends(spark, sf_dir).groupBy("namespace", "file_id")
-    return finish(rows.applyInPandasWithState(decide, DECISIONS, "end bigint, fence bigint", "append", GroupStateTimeout.NoTimeout), "append")
+    # Names as text, which pandas keeps as it is beside nulls.
+    rows = appends(spark, sf_dir).selectExpr("CAST(namespace AS STRING) AS namespace", "CAST(file_id AS STRING) AS file_id", "event_id", "length", "epoch", "fence", f"pmod(hash(namespace, file_id), {BUCKETS}) AS bucket")
+    out = finish(rows.groupBy("bucket").applyInPandasWithState(decide, DECISIONS.replace("file_id bigint", "file_id string"), HELD, "append", GroupStateTimeout.NoTimeout), "append")
+    return out.withColumn("file_id", F.col("file_id").cast("bigint"))
 
 
 def latest_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
